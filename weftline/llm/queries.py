@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pack_pow2, rule_cascade, scratch, token_store, warc_zip
+from . import knn_quality, pack_pow2, rule_cascade, scratch, token_store, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,19 @@ def op9_pack_pow2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def quality_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> knn_quality.Model:
+    """Learned from the labelled rows whose crc32(doc_id as text) mod 3 is not 1."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    return knn_quality.fit(docs, labels)
+
+
+def op4_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = knn_quality.score(docs, quality_model(docs, spark, sf_dir), F.col("text"), [F.col("doc_id")])
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch.scratch_path(spark, "warc")
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
@@ -79,5 +92,5 @@ from b
 """
 
 
-QUERIES = {"op2_token_store": op2_token_store, "op6_warc_zip": op6_warc_zip, "op9_pack_pow2": op9_pack_pow2, "op10_rule_cascade": op10_rule_cascade}
+QUERIES = {"op2_token_store": op2_token_store, "op4_knn_quality": op4_knn_quality, "op6_warc_zip": op6_warc_zip, "op9_pack_pow2": op9_pack_pow2, "op10_rule_cascade": op10_rule_cascade}
 ORACLES = {"op6_warc_zip": OP6_SQL, "op10_rule_cascade": OP10_SQL}

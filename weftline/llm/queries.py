@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import knn_quality, pack_pow2, rule_cascade, scratch, token_store, warc_zip
+from . import knn_quality, lm_lattice, pack_pow2, rule_cascade, scratch, token_store, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,12 @@ def tokenizer(name: str) -> str:
     return os.path.abspath(public_tokenizers.path(name))
 
 
+def op1_lm_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = F.col("doc_id"), F.col("text"), F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    return lm_lattice.score(docs, lm_lattice.fit(docs, tokenizer("piece_bpe_32k.model"), *columns), *columns)
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.scratch_path(spark, "store")
     token_store.write_store(table(spark, sf_dir, "documents"), path, tokenizer("byte_bpe_50k.json"), end_id=0)
@@ -92,5 +98,5 @@ from b
 """
 
 
-QUERIES = {"op2_token_store": op2_token_store, "op4_knn_quality": op4_knn_quality, "op6_warc_zip": op6_warc_zip, "op9_pack_pow2": op9_pack_pow2, "op10_rule_cascade": op10_rule_cascade}
+QUERIES = {"op1_lm_lattice": op1_lm_lattice, "op2_token_store": op2_token_store, "op4_knn_quality": op4_knn_quality, "op6_warc_zip": op6_warc_zip, "op9_pack_pow2": op9_pack_pow2, "op10_rule_cascade": op10_rule_cascade}
 ORACLES = {"op6_warc_zip": OP6_SQL, "op10_rule_cascade": OP10_SQL}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import knn_quality, lm_lattice, pack_pow2, rule_cascade, scratch, token_store, warc_zip
+from . import jaccard_groups, knn_quality, lm_lattice, pack_pow2, rule_cascade, scratch, token_store, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups.join(table(spark, sf_dir, "documents"))
+
+
 def op9_pack_pow2(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_pow2.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
@@ -98,5 +102,5 @@ from b
 """
 
 
-QUERIES = {"op1_lm_lattice": op1_lm_lattice, "op2_token_store": op2_token_store, "op4_knn_quality": op4_knn_quality, "op6_warc_zip": op6_warc_zip, "op9_pack_pow2": op9_pack_pow2, "op10_rule_cascade": op10_rule_cascade}
+QUERIES = {"op1_lm_lattice": op1_lm_lattice, "op2_token_store": op2_token_store, "op4_knn_quality": op4_knn_quality, "op6_warc_zip": op6_warc_zip, "op8_jaccard_groups": op8_jaccard_groups, "op9_pack_pow2": op9_pack_pow2, "op10_rule_cascade": op10_rule_cascade}
 ORACLES = {"op6_warc_zip": OP6_SQL, "op10_rule_cascade": OP10_SQL}

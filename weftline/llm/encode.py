@@ -16,7 +16,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Entries kept per worker and cache (about 200 bytes each); later words are encoded each time.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 350_000
 #: Longer words are encoded each time and not kept.
 CACHE_CHARS = 64
 
@@ -79,8 +79,7 @@ class Encoder:
             self.lead, self.split = " ", regex.compile(BYTE_LEVEL)
         elif len(steps) == 2 and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and pattern.endswith(r"[^\s\p{L}\p{N}]+") and steps[1].get("type") == "ByteLevel" and not steps[1].get("use_regex") and not steps[1].get("add_prefix_space"):
             self.lead, self.split = "", regex.compile(pattern)
-        self.first = _Cache(self._chunk)
-        self.later = _Cache(lambda part: self._chunk(self.lead + part)) if self.lead else self.first
+        self.later = _Cache(lambda part: self._chunk(self.lead + part))
         self.pieces = _Cache(self._piece)
 
     def _pack(self, ids) -> bytes:
@@ -106,5 +105,5 @@ class Encoder:
             return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if self.lead and any(p[0].isspace() for p in parts[1:]):
             return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        head = self.first[parts[0]] if parts[0] else b""
+        head = self._chunk(parts[0]) if parts[0] else b""
         return head + b"".join(map(self.later.__getitem__, parts[1:]))

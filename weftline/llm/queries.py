@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_groups, knn_quality, lm_lattice, pack_pow2, rule_cascade, scratch, token_store, warc_zip
+from . import jaccard_groups, knn_quality, lm_lattice, pack_pow2, paragraph_dedup, rule_cascade, scratch, token_store, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op4_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.find(table(spark, sf_dir, "documents"))
+
+
 def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch.scratch_path(spark, "warc")
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
@@ -102,5 +106,5 @@ from b
 """
 
 
-QUERIES = {"op1_lm_lattice": op1_lm_lattice, "op2_token_store": op2_token_store, "op4_knn_quality": op4_knn_quality, "op6_warc_zip": op6_warc_zip, "op8_jaccard_groups": op8_jaccard_groups, "op9_pack_pow2": op9_pack_pow2, "op10_rule_cascade": op10_rule_cascade}
+QUERIES = {"op1_lm_lattice": op1_lm_lattice, "op2_token_store": op2_token_store, "op4_knn_quality": op4_knn_quality, "op5_paragraph_dedup": op5_paragraph_dedup, "op6_warc_zip": op6_warc_zip, "op8_jaccard_groups": op8_jaccard_groups, "op9_pack_pow2": op9_pack_pow2, "op10_rule_cascade": op10_rule_cascade}
 ORACLES = {"op6_warc_zip": OP6_SQL, "op10_rule_cascade": OP10_SQL}

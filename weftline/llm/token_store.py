@@ -45,7 +45,7 @@ MIN_IDS, MAX_IDS = 128, 4096
 #: The rolling hash sees this many ids (a power of two).
 ROLL = 16
 #: A pack is closed once it holds so many bytes.
-PACK_BYTES = 32 << 20
+PACK_BYTES = 16 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_groups, knn_quality, lm_lattice, pack_pow2, paragraph_dedup, rule_cascade, scratch, token_store, warc_zip
+from . import jaccard_groups, knn_quality, license_scan, lm_lattice, pack_pow2, paragraph_dedup, rule_cascade, scratch, spaced_seeds, token_store, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups.join(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,10 @@ def op9_pack_pow2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.find(table(spark, sf_dir, "documents"))
+
+
 def quality_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> knn_quality.Model:
     """Learned from the labelled rows whose crc32(doc_id as text) mod 3 is not 1."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
@@ -106,5 +114,5 @@ from b
 """
 
 
-QUERIES = {"op1_lm_lattice": op1_lm_lattice, "op2_token_store": op2_token_store, "op4_knn_quality": op4_knn_quality, "op5_paragraph_dedup": op5_paragraph_dedup, "op6_warc_zip": op6_warc_zip, "op8_jaccard_groups": op8_jaccard_groups, "op9_pack_pow2": op9_pack_pow2, "op10_rule_cascade": op10_rule_cascade}
+QUERIES = {"op1_lm_lattice": op1_lm_lattice, "op2_token_store": op2_token_store, "op3_license_scan": op3_license_scan, "op4_knn_quality": op4_knn_quality, "op5_paragraph_dedup": op5_paragraph_dedup, "op6_warc_zip": op6_warc_zip, "op7_spaced_seeds": op7_spaced_seeds, "op8_jaccard_groups": op8_jaccard_groups, "op9_pack_pow2": op9_pack_pow2, "op10_rule_cascade": op10_rule_cascade}
 ORACLES = {"op6_warc_zip": OP6_SQL, "op10_rule_cascade": OP10_SQL}

@@ -66,7 +66,11 @@ def with_shingles(table: DataFrame, text: str, *keep: str) -> DataFrame:
 
 def bands(window: Column) -> Column:
     """BANDS min-hashes of a window."""
-    return F.array(*(F.array_min(F.transform(window, lambda x, k=k: F.xxhash64(F.lit(k), x))) for k in range(BANDS)))
+
+    def low(k: int) -> Column:
+        return F.array_min(F.transform(window, lambda x: F.xxhash64(F.lit(k), x)))
+
+    return F.array(*map(low, range(BANDS)))
 
 
 def find(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

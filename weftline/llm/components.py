@@ -15,7 +15,8 @@ from . import scratch
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``node, root``: the smallest node reachable, for every node with an edge to another one.
+    """``node, root``: the smallest node reachable, for every node that reaches a smaller one (a root has
+    no row of its own).
 
     Nodes are longs; self-loops, repeated edges and nulls are ignored; no edges give no rows.
     """

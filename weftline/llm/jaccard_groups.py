@@ -7,9 +7,10 @@
    ordered by rarity (an estimate from a fixed-size sketch that all documents feed), then by hash; of
    n shingles only the first n - ceil(0.8 n) + 1 can be the first ones that two similar sets share.
    Tokens of a single class are dropped at once.
-4. A class of one group and another group are candidates if they share a prefix token. The group is
-   opened slice by slice (so that no task holds a large one): a slice whose token union holds too few
-   of the class's shingles is left shut, and the rest is compared set by set.
+4. A class of one group and another group meet if they share a prefix token; how many they share and
+   where the shared ones stand bounds the overlap that is still possible, and drops most. The group
+   is opened slice by slice (so that no task holds a large one): a slice whose token union holds too
+   few of the class's shingles is left shut, and the rest is compared set by set.
 5. Links of steps 2 and 4 together give the components.
 
 Any pair of linked classes either is in one group already, so that its link can't change a component,
@@ -120,13 +121,14 @@ def rarity_sketch(docs: DataFrame) -> np.ndarray:
 
 
 def prefix_tokens(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
-    """``token, node``: the rarest shingles of each row, as many as a similar set can miss and one."""
+    """``token, node, at, n``: the rarest shingles of each row, as many as a similar set can miss and
+    one; ``at`` is a shingle's place in the order of all n."""
     held = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = held.value
         for batch in batches:
-            found, owners, size = [], [], 0
+            found, owners, places, sizes, size = [], [], [], [], 0
             for node, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingle_set(value.as_py() or b"")
                 if not len(s):
@@ -134,14 +136,16 @@ def prefix_tokens(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFram
                 k = prefix_length(len(s), percent)
                 found.append(s[np.lexsort((s, rarity[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))[:k]].view(np.int64))
                 owners.append(np.full(k, node, np.int64))
+                places.append(np.arange(k, dtype=np.int32))
+                sizes.append(np.full(k, len(s), np.int32))
                 size += k
                 if size > 200_000:
-                    yield pa.record_batch([pa.array(np.concatenate(found)), pa.array(np.concatenate(owners))], ["token", "node"])
-                    found, owners, size = [], [], 0
+                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in (found, owners, places, sizes)], ["token", "node", "at", "n"])
+                    found, owners, places, sizes, size = [], [], [], [], 0
             if found:
-                yield pa.record_batch([pa.array(np.concatenate(found)), pa.array(np.concatenate(owners))], ["token", "node"])
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (found, owners, places, sizes)], ["token", "node", "at", "n"])
 
-    return docs.mapInArrow(run, "token long, node long")
+    return docs.mapInArrow(run, "token long, node long, at int, n int")
 
 
 def verified(edges: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -184,17 +188,23 @@ def links(docs: DataFrame, described: DataFrame, percent: int = PERCENT) -> Data
     # the matrix: prefix tokens of one document per class, kept where several classes have them
     distinct = docs.where("doc_id is not null").join(_limited(copies.select(F.col("a").alias("doc_id")).distinct(), n_copies), "doc_id", "left_anti")
     tokens = prefix_tokens(distinct.select("doc_id", "text"), rarity_sketch(distinct.select("doc_id", "text")), percent)
-    shared = tokens.select("*", F.min("node").over(Window.partitionBy("token")).alias("lo"), F.max("node").over(Window.partitionBy("token")).alias("hi")).where("lo <> hi").select("token", "node")
-    roots = shared.join(grouped, "node", "left").select("token", "node", F.coalesce("root", "node").alias("g"))
-    rows = scratch.save(roots, "matrix-rows")
-    sizes = grouped.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("size"))
-    matrix = rows.select("token", "g").distinct().join(sizes.withColumnRenamed("root", "g"), "g", "left").select("token", "g", F.coalesce("size", F.lit(1)).alias("size"))
-    matrix = scratch.save(matrix, "matrix")
-    several = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
-    asking = rows.join(several, "token", "left_semi").join(matrix.withColumnRenamed("size", "own"), ["token", "g"])
-    other = matrix.select("token", F.col("g").alias("h"), "size").join(several, "token", "left_semi")
-    asks = asking.join(other, "token").where("g <> h and (own < size or own = size and g < h)").select("node", "h", "size").distinct()
-    asks = scratch.save(asks, "asks")
+    w = Window.partitionBy("token")
+    shared = tokens.select("*", F.min("node").over(w).alias("low"), F.max("node").over(w).alias("high")).where("low <> high").drop("low", "high")
+    rows = scratch.save(shared.join(grouped, "node", "left").select("token", "node", "at", "n", F.coalesce("root", "node").alias("g")), "matrix-rows")
+    sizes = grouped.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("size")).withColumnRenamed("root", "g")
+    matrix = rows.groupBy("token", "g").agg(F.max(F.col("n") - F.col("at") - 1).alias("rest"), F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = matrix.select("*", F.count(F.lit(1)).over(w).alias("groups")).where("groups > 1").drop("groups").join(sizes, "g", "left")
+    matrix = scratch.save(matrix.withColumn("size", F.coalesce("size", F.lit(1))), "matrix")
+    other = matrix.select("token", F.col("g").alias("h"), "size", "rest", "least", "most")
+    asking = rows.join(matrix.select("token", "g", F.col("size").alias("own")), ["token", "g"])
+    met = asking.join(other, "token").where("g <> h and (own < size or own = size and g < h)")
+    met = met.where(f"100 * most >= {percent} * n and 100 * n >= {percent} * least")
+    met = met.groupBy("node", "h").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("at", "rest")).alias("last"), F.min("at").alias("first"), F.max("n").alias("n"), F.max("size").alias("size"), F.min("least").alias("least"))
+    # the overlap that is still possible: with one class, the shared prefix tokens and what follows the
+    # last of them on the shorter side; with several, all from the first shared token on
+    possible = F.when(F.col("size") == 1, F.col("c") + F.least(F.col("n") - F.col("last.at") - 1, F.col("last.rest"))).otherwise(F.col("n") - F.col("first"))
+    asks = met.where((100 + percent) * possible >= percent * (F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100))))
+    asks = scratch.save(asks.select("node", "h", "size"), "asks")
 
     opened = _open(docs, asks, grouped, percent)
     return copies.union(star_links).union(opened)

@@ -10,13 +10,15 @@ a word; any other setting goes through the library's ``encode`` whole.
 from __future__ import annotations
 
 import json
-import struct
+import re
+import sys
+from array import array
 
 import regex
 from tokenizers import Tokenizer
 
-#: Entries kept per worker and cache (about 200 bytes each); later words are encoded each time.
-CACHE_ENTRIES = 350_000
+#: Words kept per worker (about 200 bytes each), and a quarter as many parts of words with marks; later ones are encoded each time.
+CACHE_ENTRIES = 400_000
 #: Longer words are encoded each time and not kept.
 CACHE_CHARS = 64
 
@@ -34,6 +36,12 @@ def _byte_letters() -> dict[int, str]:
 #: Marks that end words; a run of them is one piece under either pattern.
 MARKS = ".,;:!?*$%&#|<>()-"
 
+#: A blank that is followed by another one or by the end: not a place to cut.
+ODD_BLANK = re.compile(r" (?=\s|$)")
+
+#: From here on libraries differ in what is a letter; such words go through the library whole.
+BEYOND = "\u0250"
+
 _LETTERS = _byte_letters()
 
 _WORKER: dict[str, "Encoder"] = {}
@@ -47,13 +55,13 @@ def worker_encoder(path: str) -> "Encoder":
 
 
 class _Cache(dict):
-    def __init__(self, fill):
+    def __init__(self, fill, most: int):
         super().__init__()
-        self.fill = fill
+        self.fill, self.most = fill, most
 
     def __missing__(self, key):
         value = self.fill(key)
-        if len(key) <= CACHE_CHARS and len(self) < CACHE_ENTRIES:
+        if len(key) <= CACHE_CHARS and len(self) < self.most:
             self[key] = value
         return value
 
@@ -71,6 +79,8 @@ class Encoder:
         self.normalizer = self.tokenizer.normalizer
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
+        if sys.byteorder != "little" or array(self.code).itemsize != self.width:
+            raise OSError("ids are written as little-endian arrays of 2 or 4 bytes")
         pre = spec.get("pre_tokenizer") or {}
         steps = pre.get("pretokenizers", [pre])
         pattern = str((steps[0].get("pattern") or {}).get("Regex"))
@@ -79,31 +89,33 @@ class Encoder:
             self.lead, self.split = " ", regex.compile(BYTE_LEVEL)
         elif len(steps) == 2 and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and pattern.endswith(r"[^\s\p{L}\p{N}]+") and steps[1].get("type") == "ByteLevel" and not steps[1].get("use_regex") and not steps[1].get("add_prefix_space"):
             self.lead, self.split = "", regex.compile(pattern)
-        self.later = _Cache(lambda part: self._chunk(self.lead + part))
-        self.pieces = _Cache(self._piece)
+        self.later = _Cache(lambda part: self._chunk(self.lead + part), CACHE_ENTRIES)
+        self.pieces = _Cache(self._piece, CACHE_ENTRIES // 4)
 
     def _pack(self, ids) -> bytes:
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return array(self.code, ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        mapped = piece.encode().decode("latin-1").translate(_LETTERS)
+        mapped = piece.encode().decode("latin-1").translate(_LETTERS) if not (piece.isascii() and piece.isalnum()) else piece
         return self._pack([t.id for t in self.model.tokenize(mapped)])
 
     def _chunk(self, chunk: str) -> bytes:
+        if not chunk.isascii() and max(chunk) >= BEYOND:
+            return self._pack(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
         if self.normalizer is not None:
             chunk = chunk.lower() if chunk.isascii() else self.normalizer.normalize_str(chunk)
         word = chunk.rstrip(MARKS)
         if word[len(self.lead) :].isalpha():  # a word and perhaps marks: two pieces, found without the pattern
-            return self.pieces[word] + (self.pieces[chunk[len(word) :]] if len(word) < len(chunk) else b"")
+            return self._piece(word) if len(word) == len(chunk) else self.pieces[word] + self.pieces[chunk[len(word) :]]
         return b"".join([self.pieces[p] for p in self.split.findall(chunk)])
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        parts = text.split(" ")
-        if self.lead is None or (self.lead and not all(parts[1:])):
-            return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if self.lead and any(p[0].isspace() for p in parts[1:]):
+        if self.lead is None or (self.lead and ODD_BLANK.search(text)):
             return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        head = self._chunk(parts[0]) if parts[0] else b""
-        return head + b"".join(map(self.later.__getitem__, parts[1:]))
+        head, *parts = text.split(" ")
+        found = list(map(self.later.get, parts))
+        if None in found:
+            found = [self.later[p] if x is None else x for p, x in zip(parts, found, strict=True)]
+        return (self._chunk(head) if head else b"") + b"".join(found)

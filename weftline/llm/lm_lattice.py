@@ -12,7 +12,7 @@ backward sums, weighted by count) turns them into unigram log probabilities.
 
 Work over the corpus: one pass counts words (partial counts per task, then a shuffle by word), each
 EM round is a map over the distinct words with an aggregation by piece, and a last pass scores the
-documents. The ``HEAD`` most frequent words, a fixed bound, are broadcast; a document's other words
+documents. The most frequent words, at most ``HEAD``, are broadcast; a document's other words
 join the table of word scores by key and are summed per document. No step gathers words or documents.
 
 Words are runs of anything but the blanks 0x20 and 0x09-0x0D, in lower case A-Z.
@@ -269,10 +269,23 @@ def fit(docs: DataFrame, vocabulary: str, doc_id: Column, text: Column, held_out
     return Model(logp, words, int(total.n) + ends, int(total.v) + (ends > 0), ends)
 
 
+def _head(words: DataFrame) -> DataFrame:
+    """The most frequent words, at most HEAD: all those in the upper count classes that fit whole.
+    Only the classes' sizes (16 a power of two) come to the driver; nothing is sorted in one task."""
+    short = words.where((F.col("c") > 0) & (F.octet_length("word") <= HEAD_BYTES)).withColumn("class", F.floor(16 * F.log2("c")).cast("int"))
+    cut, total = 1 << 20, 0
+    for r in sorted(short.groupBy("class").count().collect(), reverse=True):
+        total += r[1]
+        if total > HEAD:
+            break
+        cut = r[0]
+    return short.where(F.col("class") >= cut).drop("class")
+
+
 def score(docs: DataFrame, model: Model, doc_id: Column, text: Column, held_out: Column) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every text."""
     spark = docs.sparkSession
-    head = model.words.where((F.col("c") > 0) & (F.octet_length("word") <= HEAD_BYTES)).orderBy(F.desc("c"), "word").limit(HEAD)
+    head = _head(model.words)
     floor = model.n + 0.1 * (model.v + 1)
     known = {bytes(r.word): (float(np.log10((r.c + 0.1) / floor)), r.lp) for r in head.toLocalIterator()}
     held = spark.sparkContext.broadcast(known)

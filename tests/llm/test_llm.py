@@ -301,6 +301,38 @@ def test_passages(spark):
     assert paragraph_dedup.find(table(spark, [])).count() == 0
 
 
+def _uncovered(rows, spans):
+    """Words of a 50-word window that an earlier document holds too, outside of the spans."""
+    texts = {i: t.split() for i, t in rows if i is not None and t}
+    first, lost = {}, []
+    for i in sorted(texts):
+        for k in range(len(texts[i]) - 49):
+            first.setdefault(tuple(texts[i][k : k + 50]), i)
+    held = {i: {k for d, s, e, *_ in spans if d == i for k in range(s, e)} for i in texts}
+    for i, w in texts.items():
+        lost += [(i, k) for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i and not held[i].issuperset(range(k, k + 50))]
+    return lost
+
+
+def _false_leaders():
+    """X = H + W', A = junk + W, B = H + W and more such: W shares band values with W', and H with X."""
+    rows = []
+    for f in range(60):
+        h, w, at = words(60, 3000 + f), words(50, 3100 + f), 4000 + 10 * f
+        near = [f"y{k}" if k in (10, 30) else x for k, x in enumerate(w)]
+        rows += [(at, h + near), (at + 1, words(70, 3200 + f) + w), (at + 2, h + w), (at + 3, near + words(9, 3300 + f) + w), (at + 4, w + words(3, 3400 + f) + near)]
+    return [*((i, " ".join(x)) for i, x in rows), (5000, "x " * 300), (5001, "x " * 200 + rows[1][1][0])]
+
+
+def test_equal_passages_behind_a_false_leader(spark):
+    rows = _false_leaders()
+    spans = [tuple(r) for r in paragraph_dedup.find(table(spark, rows)).collect()]
+    assert _uncovered(rows, spans) == []
+    texts = {i: t.split() for i, t in rows}
+    fives = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    assert all(fives(texts[d][s:e]) & fives(texts[keeper]) and keeper < d for d, s, e, keeper, _ in spans)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from(["a", "é", "b\n", "c  d", ""]), max_size=12), st.integers(0, 6), st.integers(1, 4))
 def test_cut_text_leaves_the_other_words(parts, start, n):

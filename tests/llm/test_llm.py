@@ -17,7 +17,7 @@ from weftline.llm import jaccard_groups, knn_quality, license_scan, lm_lattice,
 from weftline.llm.components import connected_components
 from weftline.llm.encode import Encoder
 from weftline.llm.queries import tokenizer
-from weftline.llm.shingles import shingle_set
+from weftline.llm.shingles import rolling, shingle_set
 
 BYTES, WORDS_BPE = tokenizer("byte_bpe_50k.json"), tokenizer("word_bpe_49k.json")
 ODD = [(1, None), (2, ""), (3, "   "), (4, "one"), (4, "one"), (5, "a b c d e f g h"), (None, "a b c d e f g h"), (6, "x " * 30_000)]
@@ -324,6 +324,19 @@ def _false_leaders():
     return [*((i, " ".join(x)) for i, x in rows), (5000, "x " * 300), (5001, "x " * 200 + rows[1][1][0])]
 
 
+@pytest.mark.parametrize("n", [50, 55, 60])
+def test_bands_retrieve_altered_passages(n):
+    """One word changed, which the check at Jaccard 0.8 accepts; other words around the passage."""
+    r, missed = np.random.default_rng(n), 0
+    for _ in range(500):
+        a = r.integers(0, 2**63, n, dtype=np.uint64)
+        b = a.copy()
+        b[r.integers(5, n - 5)] = 7
+        rows = [rolling(np.concatenate([r.integers(0, 2**63, 80, dtype=np.uint64), x, r.integers(0, 2**63, 80, dtype=np.uint64)])) for x in (a, b)]
+        missed += not len(np.intersect1d(*(paragraph_dedup.band_values(x)[0] for x in rows)))
+    assert missed <= 2
+
+
 def test_equal_passages_behind_a_false_leader(spark):
     rows = _false_leaders()
     spans = [tuple(r) for r in paragraph_dedup.find(table(spark, rows)).collect()]

@@ -387,6 +387,15 @@ def test_licenses(spark):
     assert license_scan.find(table(spark, [])).count() == 0
 
 
+def test_short_statements(spark):
+    docs = [*ODD, (50, "Some text.\nALL rights  reserved.\nMore. All rights reserved"), (51, "all rights are reserved"), (52, "all rights reserved"), (53, " ".join(words(30, 1)) + " (MIT license)")]
+    got = {tuple(r) for r in license_scan.find(table(spark, docs)).collect()}
+    n = len(license_scan.TEMPLATES)
+    assert got == {(50, "All-Rights-Reserved", n, 1, 1, 2), (52, "All-Rights-Reserved", n, 1, 1, 0), (53, "MIT", n + 1, 1, 1, 30)}
+    with pytest.raises(ValueError):
+        license_scan.find(table(spark, docs), short=[("X", "this one has five words")])
+
+
 def test_crc_and_json_helpers(spark):
     assert spark.range(1).select(F.crc32(F.lit("12"))).head()[0] == zlib.crc32(b"12")
     assert json.loads(json.dumps({"offset": 1})) == {"offset": 1} and public_tokenizers.path("x").endswith("x")

@@ -11,9 +11,12 @@ hold ``PERCENT`` of the template's distinct shingles.
 Windows without any shingle of their class's templates can't collide, and are left out before the
 bands are computed. Templates are a parameter; their bands are broadcast, at most ``MAX_TEMPLATES``.
 
-Defined cases: a null, empty or short text (under five words) holds no statement; rows of one doc_id
-are one document, as are rows with a null doc_id; templates under five words are refused; an empty
-table gives no rows; other columns are ignored.
+Statements shorter than a shingle are a parameter of their own: each is one shingle of all its words,
+held by a run of just these words.
+
+Defined cases: a null or empty text holds no statement, a text under five words none but short ones;
+rows of one doc_id are one document, as are rows with a null doc_id; templates under five words are
+refused, as are short statements of five words or none; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,6 +51,18 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 
+#: Statements under five words.
+SHORT = [
+    ("All-Rights-Reserved", "All rights reserved."),
+    ("MIT", "MIT License"),
+    ("Apache-2.0", "Apache License 2.0"),
+    ("CC-BY-4.0", "CC BY 4.0"),
+    ("CC0-1.0", "CC0 1.0"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("ISC", "ISC License"),
+]
+
 
 def miss_bound(bands: int = BANDS, percent: int = PERCENT) -> float:
     """The greatest chance that a window that holds ``percent`` of a template shares no band with it."""
@@ -55,10 +70,14 @@ def miss_bound(bands: int = BANDS, percent: int = PERCENT) -> float:
     return (1 - t / 2 / (2 + (1 - t) / 2)) ** bands
 
 
+def words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda x: x != "")
+
+
 def with_shingles(table: DataFrame, text: str, *keep: str) -> DataFrame:
     """``keep`` and ``h``, the hashes of the five-word shingles in order. The words are a column of
     their own first: inside a lambda, an expression would be evaluated for each element."""
-    w = F.filter(F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda x: x != "")
+    w = words(F.col(text))
     at = F.transform(F.sequence(F.lit(0), F.size("_w") - SHINGLE), lambda i: F.xxhash64(*(F.get("_w", i + k) for k in range(SHINGLE))))
     h = F.when(F.size("_w") >= SHINGLE, at).otherwise(F.array().cast("array<bigint>"))
     return table.select(*keep, w.alias("_w")).select(*keep, h.alias("h"))
@@ -73,10 +92,36 @@ def bands(window: Column) -> Column:
     return F.array(*map(low, range(BANDS)))
 
 
-def find(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find_short(docs: DataFrame, statements: list[tuple[str, str]], first: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``find``, for statements under five words, numbered from ``first`` on; the window is the first
+    word's place."""
+    spark: SparkSession = docs.sparkSession
+    table = spark.createDataFrame([(first + k, name, t) for k, (name, t) in enumerate(statements)], "template int, license string, t string")
+    table = table.select("template", "license", words(F.col("t")).alias("w")).select("template", "license", F.size("w").alias("n"), F.array_join("w", " ").alias("words"))
+    rows = table.collect()
+    if any(not 0 < r.n < SHINGLE for r in rows):
+        raise ValueError(f"a short statement has one to {SHINGLE - 1} words")
+
+    def places(n: int) -> Column:
+        """The runs of ``n`` words that are statements."""
+        run = lambda i: F.concat_ws(" ", *(F.get("_w", i + k) for k in range(n)))
+        begins = sorted({r.words.split(" ")[0] for r in rows if r.n == n})
+        at = F.filter(F.sequence(F.lit(0), F.size("_w") - n), lambda i: F.get("_w", i).isin(begins) & run(i).isin([r.words for r in rows if r.n == n]))
+        held = F.transform(at, lambda i: F.struct(run(i).alias("words"), i.alias("at")))
+        return F.when(F.size("_w") >= n, held).otherwise(F.array().cast("array<struct<words:string,at:int>>"))
+
+    some = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("_w"))
+    some = some.select("doc_id", F.explode_outer(F.concat(*map(places, sorted({r.n for r in rows})))).alias("x")).where("x is not null")
+    hits = some.select("doc_id", "x.words", "x.at").join(F.broadcast(table), "words")
+    best = hits.groupBy("doc_id", "template", "license").agg(F.min("at").alias("window"))
+    return best.select("doc_id", "license", "template", F.lit(1).alias("held"), F.lit(1).alias("template_shingles"), "window")
+
+
+def find(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, doc_id: str = "doc_id", text: str = "text", short: list[tuple[str, str]] = SHORT) -> DataFrame:
     """``doc_id, license, template, held, template_shingles, window``: per document and template the
-    most shingles that a window holds, and the first such window's place in shingles."""
-    if len(templates) > MAX_TEMPLATES:
+    most shingles that a window holds, and the first such window's place in shingles. Short statements
+    are numbered after the templates."""
+    if len(templates) + len(short) > MAX_TEMPLATES:
         raise ValueError(f"at most {MAX_TEMPLATES} templates")
     spark: SparkSession = docs.sparkSession
     table = spark.createDataFrame([(k, name, t) for k, (name, t) in enumerate(templates)], "template int, license string, words string")
@@ -107,4 +152,5 @@ def find(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, doc_id:
         hits = hits.where(100 * F.col("held") >= PERCENT * F.col("n"))
         found = hits if found is None else found.union(hits)
     best = found.groupBy("doc_id", "template", "license", "n").agg(F.max(F.struct("held", (-F.col("at")).alias("back"))).alias("m"))
-    return best.select("doc_id", "license", "template", F.col("m.held").alias("held"), F.col("n").alias("template_shingles"), (-F.col("m.back")).alias("window"))
+    best = best.select("doc_id", "license", "template", F.col("m.held").alias("held"), F.col("n").alias("template_shingles"), (-F.col("m.back")).alias("window"))
+    return best.union(find_short(docs, short, len(templates), doc_id, text)) if short else best

@@ -99,6 +99,19 @@ def test_evaluation_modes(spark):
         evaluate.evaluate(g, mode="x")
 
 
+@pytest.mark.parametrize("block", [20_000, 7])
+def test_mrr_counts_every_rank(spark, block, monkeypatch):
+    """The only hit of each query in outfit 0 ranks 31st; outfit 99 is of one category, its queries find nothing."""
+    monkeypatch.setattr(evaluate, "BLOCK_ROWS", block)
+    rows = [(0, 0, "a", [1.0, 0.0]), (1, 0, "b", [0.5, 0.0]), *((10 + i, 100 + i, "ab"[i % 2], [0.9, 0.0]) for i in range(60)), (90, 99, "a", [1.0, 0.0]), (91, 99, "a", [1.0, 0.0])]
+    g = spark.createDataFrame(rows, "garment_id long, outfit_id long, category string, e array<double>")
+    got = {r.category: r for r in evaluate.evaluate(g).collect()}
+    assert got["a"].hit_at_10 == 0 and abs(got["a"].mrr - 1 / 31 / 3) < 1e-12 and got["a"].n_queries == 3
+    assert abs(got["b"].mrr - 1) < 1e-12 and abs(got[None].mrr - (1 / 31 + 1) / 4) < 1e-12
+    alone = evaluate.evaluate(g.where("outfit_id = 99")).where("category is null").head()
+    assert alone.mrr == 0 and alone.n_queries == 2
+
+
 def test_agreement_counts_nan_and_equal_as_disagreement(spark):
     s = spark.createDataFrame([(0, "x", 0.8), (1, "x", 0.2), (2, "x", 0.2), (3, "x", float("nan"))], "row_id long, axis string, score double")
     a = spark.createDataFrame([(0, 1, "x", "a"), (1, 0, "x", "b"), (1, 2, "x", "a"), (3, 0, "x", "a"), (0, 1, "x", "tie"), (0, 9, "x", "a")], "image_a_row_id long, image_b_row_id long, axis string, choice string")

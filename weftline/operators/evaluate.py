@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.knn import top_k
+from weftline.operators.knn import BLOCK_ROWS, DIGITS, QUERY_ROWS
 
 
 def eval_queries(garments: DataFrame, least: int = 2) -> DataFrame:
@@ -21,7 +24,8 @@ def eval_queries(garments: DataFrame, least: int = 2) -> DataFrame:
 
 
 def evaluate(garments: DataFrame, k_values: tuple[int, ...] = (1, 5, 10), mode: str = "cooccurrence") -> DataFrame:
-    """Per category and overall (``category`` null): queries, hit@k, mean reciprocal rank.
+    """Per category and overall (``category`` null): queries, hit@k, mean reciprocal rank at any rank
+    over the queries that have candidates.
 
     ``reference`` leaves the query's own outfit out of the candidates, so nothing can be found and
     every figure is 0; ``cooccurrence`` keeps it, leaving out the query alone.
@@ -29,26 +33,59 @@ def evaluate(garments: DataFrame, k_values: tuple[int, ...] = (1, 5, 10), mode:
     if mode not in ("reference", "cooccurrence"):
         raise ValueError(f"unknown mode {mode}")
     q = eval_queries(garments)
-    k = max(k_values)
     group = "outfit_id" if mode == "reference" else "garment_id"
-    asks = q.join(garments.select(F.col("garment_id").alias("qid"), "e"), "qid")
     own = "outfit_id" if mode == "reference" else "qid"
-    best = best_across(asks.select("qid", F.col(own).alias("qgroup"), "category", "e"), garments, group, k)
-    truth = q.select("qid", F.explode("truth").alias("cid"))
-    first = best.join(truth, ["qid", "cid"]).groupBy("qid").agg(F.min("rank").alias("first"))
-    rows = q.select("qid", "category").join(first, "qid", "left")
-    measures = [F.count(F.lit(1)).alias("n_queries"), *(F.avg((F.coalesce("first", F.lit(k + 1)) <= x).cast("double")).alias(f"hit_at_{x}") for x in k_values), F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr")]
+    vectors = garments.select("garment_id", F.col(group).alias("cgroup"), F.coalesce("category", F.lit("")).alias("tag"), "e")
+    asks = q.join(garments.select(F.col("garment_id").alias("qid"), "e"), "qid").select("qid", F.col(own).alias("qgroup"), F.coalesce("category", F.lit("\0")).alias("not_tag"), "e")
+    hits = q.select("qid", F.explode("truth").alias("cid")).join(vectors.select(F.col("garment_id").alias("cid"), "cgroup", "tag", F.col("e").alias("ce")), "cid")
+    ranks = first_ranks(asks, vectors.withColumnRenamed("garment_id", "cid"), hits)
+    rows = q.select("qid", "category").join(ranks, "qid", "left")
+    met = F.coalesce("candidates", F.lit(0)) > 0
+    rank = F.when(F.col("first") > 0, F.col("first"))
+    measures = [F.count(F.lit(1)).alias("n_queries"), *(F.avg(F.coalesce(rank <= x, F.lit(False)).cast("double")).alias(f"hit_at_{x}") for x in k_values), F.coalesce(F.avg(F.when(met, F.coalesce(1 / rank, F.lit(0.0)))), F.lit(0.0)).alias("mrr")]
     return rows.groupBy("category").agg(*measures).unionByName(rows.agg(*measures).withColumn("category", F.lit(None).cast("string")))
 
 
-def best_across(asks: DataFrame, garments: DataFrame, group: str, k: int) -> DataFrame:
-    """The k best of all categories but the query's, ranked together."""
-    from pyspark.sql import Window
+def first_ranks(asks: DataFrame, candidates: DataFrame, hits: DataFrame) -> DataFrame:
+    """``qid, candidates, first``: how many candidates a query has, and the rank of its best hit among all
+    of them (null without one). The best hit is found first, then the candidates above it are counted in
+    blocks; equal similarities rank by cid.
 
-    c = garments.select(F.col("garment_id").alias("cid"), F.col(group).alias("cgroup"), F.col("category").alias("tag"), "e")
-    per_tag = top_k(asks.select("qid", "qgroup", F.col("category").alias("not_tag"), "e"), c, k)
-    w = Window.partitionBy("qid").orderBy(F.desc("similarity"), "cid")
-    return per_tag.select("qid", "cid", "similarity", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+    ``asks``: qid, qgroup, not_tag, e as in ``top_k``; ``candidates``: cid, cgroup, tag, e; ``hits``: qid,
+    cid, cgroup, tag, ce.
+    """
+    held = hits.join(asks, "qid").where("cgroup <> qgroup and tag <> not_tag").select("qid", "cid", "e", "ce")
+    schema = "qid long, candidates long, above long"
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            s = [np.round(np.asarray(a, np.float64) @ np.asarray(b, np.float64), DIGITS) for a, b in zip(x.e, x.ce, strict=True)]
+            yield pd.DataFrame({"qid": x.qid, "cid": x.cid, "s": np.array(s, np.float64)})
+
+    best = held.mapInPandas(scored, "qid long, cid long, s double").groupBy("qid").agg(F.min(F.struct((-F.col("s")).alias("low"), "cid")).alias("b"))
+    q = asks.join(best.select("qid", (-F.col("b.low")).alias("s"), F.col("b.cid").alias("hit")), "qid", "left")
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        parts = [pd.DataFrame({"qid": np.zeros(0, np.int64), "candidates": np.zeros(0, np.int64), "above": np.zeros(0, np.int64)})]
+        if len(a) and len(b):
+            m, ids = np.stack(b.e.to_numpy()).astype(np.float64), b.cid.to_numpy()
+            for at in range(0, len(a), QUERY_ROWS):
+                x = a.iloc[at : at + QUERY_ROWS]
+                sims = np.round(np.stack(x.e.to_numpy()).astype(np.float64) @ m.T, DIGITS)
+                free = (b.cgroup.to_numpy()[None] != x.qgroup.to_numpy()[:, None]) & (b.tag.to_numpy()[None] != x.not_tag.to_numpy()[:, None])
+                s, hit = x.s.to_numpy(np.float64)[:, None], x.hit.fillna(-1).to_numpy(np.int64)[:, None]
+                above = free & ((sims > s) | ((sims == s) & (ids[None] < hit)))
+                parts.append(pd.DataFrame({"qid": x.qid.to_numpy(), "candidates": free.sum(1), "above": above.sum(1)}))
+        return pd.concat(parts)
+
+    blocks = lambda t: max(1, -(-t.count() // BLOCK_ROWS))
+    qb, cb = blocks(asks), blocks(candidates)
+    c = candidates.select(*(F.col(x).alias(x) for x in candidates.columns))  # the sides may come from one table
+    left = q.select("*", F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("cb"))
+    right = c.select("*", F.pmod(F.xxhash64("cid"), F.lit(cb)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
+    counts = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(meet, schema)
+    counts = counts.groupBy("qid").agg(F.sum("candidates").alias("candidates"), F.sum("above").alias("above"))
+    return counts.join(best.select("qid", F.lit(1).alias("found")), "qid", "left").select("qid", "candidates", F.when(F.col("found") == 1, F.col("above") + 1).alias("first"))
 
 
 def agreement(annotations: DataFrame, scores_long: DataFrame) -> DataFrame:

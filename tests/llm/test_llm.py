@@ -98,6 +98,17 @@ def test_store_round_trip_and_tampering(spark):
     assert token_store.read_store(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("table_name", ["recipes", "manifest"])
+def test_store_misses_lost_rows(spark, table_name):
+    path = scratch.scratch_path(spark, "test-store")
+    token_store.write_store(table(spark, [(i, " ".join(words(20, i))) for i in range(40)]), path, BYTES)
+    assert token_store.read_store(spark, path).count() == 40
+    lost = spark.createDataFrame(spark.read.parquet(f"{path}/{table_name}").orderBy("part").collect()[1:], spark.read.parquet(f"{path}/{table_name}").schema)
+    lost.write.mode("overwrite").parquet(f"{path}/{table_name}")
+    with pytest.raises(token_store.StoreError):
+        token_store.read_store(spark, path).collect()
+
+
 def test_chunk_ends_shift():
     ids = np.random.default_rng(1).integers(0, 50_000, 30_000)
     a, b = token_store.chunk_ends(ids), token_store.chunk_ends(np.append(np.arange(77), ids))

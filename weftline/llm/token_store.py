@@ -136,6 +136,22 @@ def _stage(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFra
     return docs.mapInArrow(write, _STAGED)
 
 
+def _parts(recipes: DataFrame) -> list[tuple]:
+    """``part, n_docs, n_ids, base, root`` of each part, from its recipes: bounded by the number of shuffle
+    partitions."""
+
+    def part_root(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("before")
+        return pd.DataFrame({"part": [key[0]], "n_docs": [len(rows)], "n_ids": [int(rows.n_tokens.sum())], "root": [merkle_root(list(rows.root))]})
+
+    found = recipes.select("part", "before", "n_tokens", "root").groupBy("part").applyInPandas(part_root, "part int, n_docs long, n_ids long, root binary").orderBy("part").collect()
+    rows, base = [], 0
+    for r in found:
+        rows.append((r.part, r.n_docs, r.n_ids, base, bytes(r.root)))
+        base += r.n_ids
+    return rows
+
+
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> bytes:
     """Write the store into the new folder ``path`` (shared by all executors); its Merkle root."""
     spark = docs.sparkSession
@@ -176,15 +192,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc
     ordered = recipes.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
     ordered.mapInArrow(number, "doc_id long, n_tokens long, root binary, hashes array<binary>, home string, part int, before long").write.parquet(f"{path}/recipes")
 
-    def part_root(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("before")
-        return pd.DataFrame({"part": [key[0]], "n_docs": [len(rows)], "n_ids": [int(rows.n_tokens.sum())], "root": [merkle_root(list(rows.root))]})
-
-    manifest = spark.read.parquet(f"{path}/recipes").select("part", "before", "n_tokens", "root").groupBy("part").applyInPandas(part_root, "part int, n_docs long, n_ids long, root binary").orderBy("part").collect()
-    rows, base = [], 0  # one row a part: bounded by the number of shuffle partitions
-    for r in manifest:
-        rows.append((r.part, r.n_docs, r.n_ids, base, bytes(r.root)))
-        base += r.n_ids
+    rows = _parts(spark.read.parquet(f"{path}/recipes"))
     spark.createDataFrame(rows, "part int, n_docs long, n_ids long, base long, root binary").coalesce(1).write.parquet(f"{path}/manifest")
     root = merkle_root([r[-1] for r in rows])
     scratch.put(f"{path}/root", root.hex().encode())
@@ -193,9 +201,18 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` (little-endian uint32) of every stored document, verified."""
+    """``doc_id, start, n_tokens, ids`` (little-endian uint32) of every stored document, verified:
+    the parts against the manifest and its root at once, documents and chunks as they are read."""
     recipes, chunks = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/chunks")
     manifest = spark.read.parquet(f"{path}/manifest")  # one row a part
+    held = sorted((r.part, r.n_docs, r.n_ids, r.base, bytes(r.root)) for r in manifest.collect())
+    fs, file = scratch.filesystem(f"{path}/root")
+    with fs.open_input_file(file) as f:
+        root = f.read().decode()
+    if merkle_root([r[-1] for r in held]).hex() != root:
+        raise StoreError("the manifest has another root than was written")
+    if _parts(recipes) != held:
+        raise StoreError("the recipes are not those of the manifest")
     wanted = recipes.select("part", "before", "home", F.posexplode("hashes").alias("at", "hash"))
     found = wanted.join(chunks.select("hash", "pack", "offset", "size"), "hash", "left")
     lists = found.groupBy("part", "before", "home").agg(F.array_sort(F.collect_list(F.struct("at", "hash", "pack", "offset", "size"))).alias("c"))

@@ -1,5 +1,6 @@
 import hashlib
 import io
+import itertools
 import json
 import random
 import zipfile
@@ -383,6 +384,19 @@ def test_seeds_find_substituted_items(spark):
     assert spaced_seeds.find(table(spark, []), items).count() == 0 == spaced_seeds.find(table(spark, docs), items.limit(0)).count()
 
 
+def test_seeds_find_every_short_item(spark):
+    items, docs, want = [], [], set()
+    for n in range(1, 15):
+        item, strangers = words(n, 6000 + n), n * 20 // 100
+        items.append((n, " ".join(item)))
+        for j, gone in enumerate(itertools.combinations(range(n), strangers)):
+            w = ["zz" if k in gone else x for k, x in enumerate(item)]
+            docs.append((10_000 * n + j, " ".join([*words(6, 7000 + n), *w, *words(5, 8000 + n)])))
+            want.add((10_000 * n + j, n))
+    got = spaced_seeds.find(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and all(r.start_word == 6 for r in got)
+
+
 def test_licenses(spark):
     docs = [*ODD]
     for k, (_, t) in enumerate(license_scan.TEMPLATES):

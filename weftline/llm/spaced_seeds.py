@@ -5,13 +5,15 @@ places ignored. Seeds of the benchmark items meet the seeds of all documents; ea
 diagonal (document place minus item place), and the aligned words are compared around it: an item is
 leaked if some ``WINDOW`` aligned words (the whole item, if shorter) agree at ``PERCENT`` of their
 places or more. Between them the two masks find every window of 15 words with up to three strangers,
-wherever these stand, so no such leak is missed.
+wherever these stand, so no such leak is missed. Items under 15 words have a mask of successive words
+besides, as long as the longest run that their strangers must leave (all of an item under five words);
+documents are looked up by the masks of the item lengths that occur.
 
 The seeds of the benchmark are broadcast only up to ``BROADCAST_SEEDS`` rows, and otherwise joined by
 key; hits are written to the shared folder before the documents are read again, and only documents
 with a hit are aligned.
 
-Defined cases: a null or empty text, and an item or document too short for a seed, has no hit; repeated
+Defined cases: a null or empty text has no hit, nor has a document too short for a seed; repeated
 items are reported item by item; rows of one doc_id are one document, as are rows with a null doc_id;
 empty tables give no rows; other columns are ignored.
 """
@@ -36,21 +38,29 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), BLANKS), lambda w: w != "")
 
 
-def seeds(w: Column) -> Column:
-    """An array of arrays: at each place the hashes of the masks that fit there."""
+def run_mask(n: int) -> str:
+    """Successive words that agree wherever the strangers in an item of ``n`` words stand."""
+    strangers = n * (100 - PERCENT) // 100
+    return "1" * -(-(n - strangers) // (strangers + 1))
+
+
+def seeds(w: Column, masks: list[str], fit: dict[str, list[int]] | None = None) -> Column:
+    """An array of arrays: at each place the hashes of the masks that fit there; those
+    in ``fit`` are for texts of these lengths alone."""
+    own = lambda m: F.size(w).isin(fit[m]) if fit and m in fit else F.lit(True)
 
     def at(i: Column) -> Column:
-        hashes = [F.when(i + len(m) <= F.size(w), F.xxhash64(F.lit(k), *(F.get(w, i + j) for j, c in enumerate(m) if c == "1"))) for k, m in enumerate(MASKS)]
+        hashes = [F.when((i + len(m) <= F.size(w)) & own(m), F.xxhash64(F.lit(k), *(F.get(w, i + j) for j, c in enumerate(m) if c == "1"))) for k, m in enumerate(masks)]
         return F.array(*hashes)
 
-    shortest = min(map(len, MASKS))
+    shortest = min(map(len, masks))
     return F.when(F.size(w) >= shortest, F.transform(F.sequence(F.lit(0), F.size(w) - shortest), at)).otherwise(F.array().cast("array<array<bigint>>"))
 
 
-def _seed_rows(table: DataFrame, key: str, w: str, at: str) -> DataFrame:
+def _seed_rows(table: DataFrame, key: str, w: str, at: str, masks: list[str], fit: dict[str, list[int]] | None = None) -> DataFrame:
     """A row per place and mask. Outer explodes: for inner ones Spark would work out the seeds twice,
     the second time in a filter on their number."""
-    places = table.select(key, F.posexplode_outer(seeds(F.col(w))).alias(at, "hashes"))
+    places = table.select(key, F.posexplode_outer(seeds(F.col(w), masks, fit)).alias(at, "hashes"))
     return places.select(key, at, F.explode_outer("hashes").alias("seed")).where("seed is not null")
 
 
@@ -66,10 +76,14 @@ def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     that agree on the best diagonal, and where in the document the item begins there."""
     d = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("dw"))
     i = scratch.save(items.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("iw")), "items")
-    wanted = scratch.save(_seed_rows(i, "item_id", "iw", "i_at"), "seeds")
+    fit: dict[str, list[int]] = {}
+    for (n,) in i.select(F.size("iw").alias("n")).where((F.col("n") > 0) & (F.col("n") < WINDOW)).distinct().orderBy("n").collect():
+        fit.setdefault(run_mask(n), []).append(n)
+    masks = [*MASKS, *fit]
+    wanted = scratch.save(_seed_rows(i, "item_id", "iw", "i_at", masks, fit), "seeds")
     few = wanted.count() <= BROADCAST_SEEDS
     small = lambda t: F.broadcast(t) if few else t
-    met = _seed_rows(d, "doc_id", "dw", "d_at").join(small(wanted), "seed")
+    met = _seed_rows(d, "doc_id", "dw", "d_at", masks).join(small(wanted), "seed")
     hits = scratch.save(met.select("doc_id", "item_id", (F.col("d_at") - F.col("i_at")).alias("diagonal")).distinct(), "hits")
     hits = hits.withColumnRenamed("doc_id", "hit_id")
     hits = F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits

@@ -74,13 +74,15 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.normalizer = self.tokenizer.normalizer
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         if sys.byteorder != "little" or array(self.code).itemsize != self.width:
             raise OSError("ids are written as little-endian arrays of 2 or 4 bytes")
+        added = [t["content"] for t in spec.get("added_tokens") or []]
+        #: Finds every added token, in any case: normalization may come before the library's own search.
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         pre = spec.get("pre_tokenizer") or {}
         steps = pre.get("pretokenizers", [pre])
         pattern = str((steps[0].get("pattern") or {}).get("Regex"))
@@ -112,7 +114,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.lead is None or (self.lead and ODD_BLANK.search(text)):
+        if self.lead is None or (self.lead and ODD_BLANK.search(text)) or (self.added and self.added.search(text)):
             return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         head, *parts = text.split(" ")
         found = list(map(self.later.get, parts))

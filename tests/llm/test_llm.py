@@ -9,20 +9,21 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weftline.llm import jaccard_groups, knn_quality, license_scan, lm_lattice, pack_pow2, paragraph_dedup, rule_cascade, scratch, spaced_seeds, token_store, warc_zip
+from weftline.llm import encode, jaccard_groups, knn_quality, license_scan, lm_lattice, pack_pow2, paragraph_dedup, rule_cascade, scratch, spaced_seeds, token_store, warc_zip
 from weftline.llm.components import connected_components
 from weftline.llm.encode import Encoder
 from weftline.llm.queries import tokenizer
 from weftline.llm.shingles import rolling, shingle_set
 
 BYTES, WORDS_BPE = tokenizer("byte_bpe_50k.json"), tokenizer("word_bpe_49k.json")
-ODD = [(1, None), (2, ""), (3, "   "), (4, "one"), (4, "one"), (5, "a b c d e f g h"), (None, "a b c d e f g h"), (6, "x " * 30_000)]
+ODD = [(1, None), (2, ""), (3, "   "), (4, "one"), (4, "one"), (5, "a b c d e f g h"), (None, "a b c d e f g h"), (6, "x " * 30_000), (7, "a<|endoftext|>b")]
 
 
 def table(spark, rows):
@@ -39,18 +40,32 @@ def words(n, seed):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from([*" \n\t.,'sé́İΣ<|>1x", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>"]), st.characters(codec="utf-8")), max_size=40))
-def test_cached_encoder_equals_library(text):
+@given(st.lists(st.lists(st.one_of(st.sampled_from([*" \n\t.,'sé́İΣ<|>1x²", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", ".\n\n", "It's"]), st.characters(codec="utf-8")), max_size=30).map("".join), max_size=4))
+def test_cached_encoder_equals_library(texts):
     for path in (BYTES, WORDS_BPE):
         if path not in _encoders:
             _encoders[path] = Encoder(path), Tokenizer.from_file(path)
         e, library = _encoders[path]
-        assert np.frombuffer(e.encode(text), f"<u{e.width}").tolist() == library.encode(text, add_special_tokens=False).ids
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(e.encode(t), f"<u{e.width}").tolist() for t in texts] == want
+        got = [x for _, ids, n in e.blocks(pa.array(texts, pa.string())) for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert [x.tolist() for x in got] == want
 
 
 _encoders: dict = {}
 
 
+def test_encoder_in_small_blocks(monkeypatch):
+    monkeypatch.setattr(encode, "BLOCK_BYTES", 50)
+    monkeypatch.setattr(encode, "CACHE_ENTRIES", 20)
+    texts = [None, "", *(" ".join([*words(n, n), "end.", "été!?", "x\n\ny."]) for n in range(30)), "", None]
+    for path in (BYTES, WORDS_BPE):
+        e, library = Encoder(path), Tokenizer.from_file(path)
+        got = [x.tolist() for _, ids, n in e.blocks(pa.array(texts)) for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts] and len(e.later) <= 20
+        assert list(e.blocks(pa.array([], pa.string()))) == []
+
+
 def test_piece_lengths():
     for n in range(1, 70):
         got = pack_pow2.piece_lengths(n, 16)
@@ -113,6 +128,24 @@ def test_store_misses_lost_rows(spark, table_name):
         token_store.read_store(spark, path).collect()
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 6, 7, 8, 21])
+def test_merkle_of_a_stream(n):
+    leaves, tree = [b"%d" % k for k in range(n)], token_store.Merkle()
+    for x in leaves:
+        tree.add(x)
+    assert tree.root() == token_store.merkle_root(leaves)
+
+
+def test_store_of_one_repeated_id(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "PACK_CHUNKS", 7)
+    docs = [(None, "same words here")] * 60 + [(1, " ".join(words(400, 3)))] * 20
+    path = scratch.scratch_path(spark, "test-store")
+    token_store.write_store(table(spark, docs), path, BYTES)
+    rows = sorted(token_store.read_store(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None] * 60 + [1] * 20 and len({bytes(r.ids) for r in rows}) == 2
+    assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows[:-1])]).tolist()
+
+
 def test_chunk_ends_shift():
     ids = np.random.default_rng(1).integers(0, 50_000, 30_000)
     a, b = token_store.chunk_ends(ids), token_store.chunk_ends(np.append(np.arange(77), ids))

@@ -15,13 +15,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encode import worker_encoder
+from .encode import with_end, worker_encoder
 
 MAX_LENGTH = 4096
 #: Sequence ids hold the partition above this bit and a running number below it.
@@ -48,7 +47,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, max_length: int = MAX_LEN
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(tokenizer)
-        kind = np.dtype(f"<u{encoder.width}")
         sequence = TaskContext.get().partitionId() << SEQUENCE_BITS
         columns: list[list] = [[] for _ in range(8)]
         held = 0
@@ -62,19 +60,22 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, max_length: int = MAX_LEN
             return out
 
         for batch in batches:
-            for key, value in zip(batch.column(0), batch.column(1), strict=True):
-                key = key.as_py()
-                ids = np.append(np.frombuffer(encoder.encode(value.as_py() or ""), kind).astype("<u4"), np.uint32(end_id)).astype("<u4")
-                data, start = ids.tobytes(), 0
-                for length in piece_lengths(len(ids), max_length):
-                    for c, v in zip(columns, (key, start, length, data[4 * start : 4 * (start + length)], len(ids), length.bit_length() - 1, sequence, 0), strict=True):
-                        c.append(v)
-                    start += length
-                    sequence += 1
-                held += len(data)
-                if held > 16 << 20:
-                    held = 0
-                    yield flush()
+            keys = batch.column(0).to_pylist()
+            for first, found, lengths in encoder.blocks(batch.column(1)):
+                ids, lengths = with_end(found, lengths, end_id)
+                data, at = ids.astype("<u4").tobytes(), 0
+                for key, n in zip(keys[first:], lengths.tolist(), strict=False):
+                    start = 0
+                    for length in piece_lengths(n, max_length):
+                        for c, v in zip(columns, (key, start, length, data[at : at + 4 * length], n, length.bit_length() - 1, sequence, 0), strict=True):
+                            c.append(v)
+                        start += length
+                        at += 4 * length
+                        sequence += 1
+                    held += 4 * n
+                    if held > 16 << 20:
+                        held = 0
+                        yield flush()
         if columns[0]:
             yield flush()
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
-from .encode import worker_encoder
+from .encode import with_end, worker_encoder
 
 #: A chunk ends where this many low bits of the rolling hash are zero ...
 CUT_BITS = 9
@@ -46,6 +46,8 @@ MIN_IDS, MAX_IDS = 128, 4096
 ROLL = 16
 #: A pack is closed once it holds so many bytes.
 PACK_BYTES = 16 << 20
+#: ... or its documents so many chunks, equal ones among them.
+PACK_CHUNKS = 100_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,9 +55,9 @@ class StoreError(ValueError):
     """What was read is not what was written."""
 
 
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """The ends of the chunks that ``ids`` is cut into."""
-    n = len(ids)
+def cut_marks(ids: np.ndarray) -> np.ndarray:
+    """The places after which the rolling hash allows a cut. A hash may reach back into the document
+    before; no cut is made that near to a document's start."""
     with np.errstate(over="ignore"):
         h = (ids.astype(np.uint64) + np.uint64(1)) * _MULTIPLIER
         h ^= h >> np.uint64(29)
@@ -64,9 +66,13 @@ def chunk_ends(ids: np.ndarray) -> list[int]:
             h[step:] = h[step:] + factor * h[:-step]
             factor, step = factor * factor, 2 * step
     h ^= h >> np.uint64(32)
-    marks = np.flatnonzero((h & np.uint64((1 << CUT_BITS) - 1)) == 0) + 1
+    return np.flatnonzero((h & np.uint64((1 << CUT_BITS) - 1)) == 0) + 1
+
+
+def _ends(marks: list[int], n: int) -> list[int]:
+    """The ends of the chunks of a document of ``n`` ids with these marks."""
     ends, last = [], 0
-    for m in marks.tolist():
+    for m in marks:
         while m - last > MAX_IDS:
             last += MAX_IDS
             ends.append(last)
@@ -79,6 +85,11 @@ def chunk_ends(ids: np.ndarray) -> list[int]:
     return [*ends, n] if n > last else ends
 
 
+def chunk_ends(ids: np.ndarray) -> list[int]:
+    """The ends of the chunks that one document's ``ids`` are cut into."""
+    return _ends(cut_marks(ids).tolist(), len(ids))
+
+
 def merkle_root(leaves: list[bytes]) -> bytes:
     """Root of a binary hash tree; an odd node moves up as it is. No leaves: the hash of nothing."""
     level = [hashlib.sha256(b"\x00" + x).digest() for x in leaves]
@@ -87,7 +98,29 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0] if level else hashlib.sha256(b"").digest()
 
 
-_STAGED = "doc_id long, n_tokens long, root binary, pack string, hashes array<binary>, offsets array<long>, sizes array<int>, counts array<int>"
+class Merkle:
+    """``merkle_root`` of leaves that come one by one, in memory that grows with their number's logarithm."""
+
+    def __init__(self) -> None:
+        self.nodes: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        level, h = 0, hashlib.sha256(b"\x00" + leaf).digest()
+        while self.nodes and self.nodes[-1][0] == level:
+            h = hashlib.sha256(b"\x01" + self.nodes.pop()[1] + h).digest()
+            level += 1
+        self.nodes.append((level, h))
+
+    def root(self) -> bytes:
+        if not self.nodes:
+            return hashlib.sha256(b"").digest()
+        h = self.nodes[-1][1]
+        for _, left in self.nodes[-2::-1]:
+            h = hashlib.sha256(b"\x01" + left + h).digest()
+        return h
+
+
+_STAGED = "doc_id long, n_tokens long, root binary, pack string, row int, hashes array<binary>, offsets array<long>, sizes array<int>, counts array<int>"
 
 
 def _stage(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFrame:
@@ -95,42 +128,58 @@ def _stage(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFra
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, press = worker_encoder(tokenizer), zstandard.ZstdCompressor(level=1)
-        kind = np.dtype(f"<u{encoder.width}")
         head = struct.pack("<4sI", b"WFTK", encoder.width)
-        schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("pack", pa.string()), ("hashes", pa.list_(pa.binary())), ("offsets", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
-        name, parts, at, known, rows = "", [], 0, {}, []
+        flat = {"hashes": pa.binary(), "offsets": pa.int64(), "sizes": pa.int32(), "counts": pa.int32()}
+        name, parts, at, known = "", [], 0, {}
+        keys, sizes, roots, ends, chunks = [], [], [], [0], {k: [] for k in flat}
 
         def begin() -> None:
-            nonlocal name, parts, at, known, rows
-            name, parts, at, known, rows = f"{uuid.uuid4().hex}.bin", [head], len(head), {}, []
+            nonlocal name, parts, at, known
+            name, parts, at, known = f"{uuid.uuid4().hex}.bin", [head], len(head), {}
+            for c in (keys, sizes, roots, ends, *chunks.values()):
+                c.clear()
+            ends.append(0)
 
         def close() -> pa.RecordBatch:
             scratch.put(f"{folder}/{name}", b"".join(parts))
-            return pa.RecordBatch.from_pylist(rows, schema)
+            n, bounds = len(keys), pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(chunks[k], t)) for k, t in flat.items()]
+            columns = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(roots, pa.binary()), pa.array([name] * n), pa.array(range(n), pa.int32()), *lists]
+            return pa.record_batch(columns, ["doc_id", "n_tokens", "root", "pack", "row", *flat])
 
         begin()
         for batch in batches:
-            for key, value in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.append(np.frombuffer(encoder.encode(value.as_py() or ""), kind), kind.type(end_id)).astype(kind)
-                hashes, offsets, sizes, counts, last = [], [], [], [], 0
-                for end in chunk_ends(ids):
-                    body = ids[last:end].tobytes()
-                    digest = hashlib.sha256(body).digest()
-                    if digest not in known:
-                        packed = press.compress(body)
-                        known[digest] = at, len(packed)
-                        parts.append(packed)
-                        at += len(packed)
-                    hashes.append(digest)
-                    offsets.append(known[digest][0])
-                    sizes.append(known[digest][1])
-                    counts.append(end - last)
-                    last = end
-                rows.append({"doc_id": key.as_py(), "n_tokens": len(ids), "root": merkle_root(hashes), "pack": name, "hashes": hashes, "offsets": offsets, "sizes": sizes, "counts": counts})
-                if at >= PACK_BYTES:
-                    yield close()
-                    begin()
-        if rows:
+            ids_of = batch.column(0).to_pylist()
+            for first, found, lengths in encoder.blocks(batch.column(1)):
+                ids, lengths = with_end(found, lengths, end_id)
+                marks, to = cut_marks(ids), np.cumsum(lengths)
+                cuts = np.searchsorted(marks, np.append(0, to), "right")
+                starts, marks = (to - lengths).tolist(), marks.tolist()
+                for k, (begins, n) in enumerate(zip(starts, lengths.tolist(), strict=True)):
+                    hashes, last = [], begins
+                    for end in _ends([m - begins for m in marks[cuts[k] : cuts[k + 1]]], n):
+                        body = ids[last : begins + end].tobytes()
+                        digest = hashlib.sha256(body).digest()
+                        place = known.get(digest)
+                        if place is None:
+                            packed = press.compress(body)
+                            place = known[digest] = at, len(packed)
+                            parts.append(packed)
+                            at += len(packed)
+                        hashes.append(digest)
+                        chunks["offsets"].append(place[0])
+                        chunks["sizes"].append(place[1])
+                        chunks["counts"].append(begins + end - last)
+                        last = begins + end
+                    chunks["hashes"] += hashes
+                    ends.append(len(chunks["hashes"]))
+                    keys.append(ids_of[first + k])
+                    sizes.append(n)
+                    roots.append(merkle_root(hashes))
+                    if at >= PACK_BYTES or len(chunks["hashes"]) >= PACK_CHUNKS:
+                        yield close()
+                        begin()
+        if keys:
             yield close()
 
     return docs.mapInArrow(write, _STAGED)
@@ -138,13 +187,27 @@ def _stage(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFra
 
 def _parts(recipes: DataFrame) -> list[tuple]:
     """``part, n_docs, n_ids, base, root`` of each part, from its recipes: bounded by the number of shuffle
-    partitions."""
+    partitions. A part's recipes pass one by one, in their order."""
+
+    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, docs, ids, tree = None, 0, 0, Merkle()
 
-    def part_root(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("before")
-        return pd.DataFrame({"part": [key[0]], "n_docs": [len(rows)], "n_ids": [int(rows.n_tokens.sum())], "root": [merkle_root(list(rows.root))]})
+        def out() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([now], pa.int32()), pa.array([docs], pa.int64()), pa.array([ids], pa.int64()), pa.array([tree.root()])], ["part", "n_docs", "n_ids", "root"])
 
-    found = recipes.select("part", "before", "n_tokens", "root").groupBy("part").applyInPandas(part_root, "part int, n_docs long, n_ids long, root binary").orderBy("part").collect()
+        for batch in batches:
+            for part, n, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    if now is not None:
+                        yield out()
+                    now, docs, ids, tree = part, 0, 0, Merkle()
+                docs, ids = docs + 1, ids + n
+                tree.add(root)
+        if now is not None:
+            yield out()
+
+    ordered = recipes.select("part", "before", "n_tokens", "root").repartition("part").sortWithinPartitions("part", "before").drop("before")
+    found = ordered.mapInArrow(roots, "part int, n_docs long, n_ids long, root binary").orderBy("part").collect()
     rows, base = [], 0
     for r in found:
         rows.append((r.part, r.n_docs, r.n_ids, base, bytes(r.root)))
@@ -187,10 +250,12 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc
             before += int(n.sum())
             yield pa.record_batch([*batch.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(local.astype(np.int64))], [*batch.schema.names, "part", "before"])
 
-    recipes = staged.select("doc_id", "n_tokens", "root", "hashes", F.col("pack").alias("home"))
+    recipes = staged.select("doc_id", "n_tokens", "root", "hashes", F.col("pack").alias("home"), "row")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = recipes.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
-    ordered.mapInArrow(number, "doc_id long, n_tokens long, root binary, hashes array<binary>, home string, part int, before long").write.parquet(f"{path}/recipes")
+    # the place in the staged packs tells rows of one doc_id apart, so that a repeated or null one is dealt out too
+    order = F.col("doc_id").asc_nulls_first(), "root", "home", "row"
+    ordered = recipes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ordered.mapInArrow(number, "doc_id long, n_tokens long, root binary, hashes array<binary>, home string, row int, part int, before long").write.parquet(f"{path}/recipes")
 
     rows = _parts(spark.read.parquet(f"{path}/recipes"))
     spark.createDataFrame(rows, "part int, n_docs long, n_ids long, base long, root binary").coalesce(1).write.parquet(f"{path}/manifest")

@@ -66,17 +66,23 @@ def contains_any(text: Column, terms: tuple[str, ...]) -> Column:
 
 
 def first_match(text: Column, terms: tuple[str, ...]) -> Column:
-    """The first matching term in list order, or null."""
-    return F.get(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t)), 0)
+    """The first matching term in list order, or null; later terms aren't looked for."""
+    out = F
+    for t in terms:
+        out = out.when(F.contains(text, F.lit(t)), F.lit(t))
+    return F.lit(None).cast("string") if out is F else out
 
 
 def count_matches(text: Column, terms: tuple[str, ...]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t)))
 
 
-def score_caption(caption: Column, lexicon: Lexicon = DEFAULT) -> Column:
-    """``struct<score, signals, excluded, excluded_term>``; -Infinity for empty or excluded captions."""
-    low = F.lower(caption)
+def score_caption(caption: Column, lexicon: Lexicon = DEFAULT, low: Column | None = None) -> Column:
+    """``struct<score, signals, excluded, excluded_term>``; -Infinity for empty or excluded captions.
+
+    ``low``: a column that holds the lower-cased caption already; inside the lambdas below, an expression
+    would be evaluated for every term."""
+    low = F.lower(caption) if low is None else low
     term = first_match(low, lexicon.exclusion)
     context = F.when(contains_any(low, lexicon.strong), F.struct(F.lit("strong_outfit").alias("k"), F.lit(STRONG_SCORE).alias("v"))).when(contains_any(low, lexicon.medium), F.struct(F.lit("medium_context").alias("k"), F.lit(MEDIUM_SCORE).alias("v"))).when(F.contains(low, F.lit("wearing")), F.struct(F.lit("wearing").alias("k"), F.lit(WEARING_SCORE).alias("v")))
     garment, person = contains_any(low, lexicon.garment), contains_any(low, lexicon.person)
@@ -100,14 +106,15 @@ def score_caption(caption: Column, lexicon: Lexicon = DEFAULT) -> Column:
     )
 
 
-def filter_caption(caption: Column, lexicon: Lexicon = DEFAULT, strict: bool = False, min_score: float | None = None) -> Column:
-    """``struct<accepted, reason, matched_term>``: by tiers, or by score where ``min_score`` is given."""
-    low = F.lower(caption)
+def filter_caption(caption: Column, lexicon: Lexicon = DEFAULT, strict: bool = False, min_score: float | None = None, low: Column | None = None) -> Column:
+    """``struct<accepted, reason, matched_term>``: by tiers, or by score where ``min_score`` is given; ``low`` as
+    in ``score_caption``."""
+    low = F.lower(caption) if low is None else low
     term = first_match(low, lexicon.exclusion)
     result = lambda ok, reason, t: F.struct(F.lit(ok).alias("accepted"), F.lit(reason).alias("reason"), t.cast("string").alias("matched_term"))
     out = F.when(caption.isNull() | (caption == ""), result(False, "empty", F.lit(None))).when(term.isNotNull(), result(False, "excluded", term))
     if min_score is not None:
-        score = score_caption(caption, lexicon).score
+        score = score_caption(caption, lexicon, low).score
         shown = F.format_string("score=%.1f", score)
         return out.when(score >= min_score, result(True, "accepted", shown)).otherwise(result(False, "below_score_threshold", F.concat(shown, F.lit(f"<{min_score}"))))
     context, garment = first_match(low, lexicon.context), first_match(low, lexicon.garment)
@@ -133,10 +140,20 @@ def _capitalised(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1 << 20)))
 
 
+def _bare(axis: Column) -> Column:
+    """Without its suffixes."""
+    return F.regexp_replace(F.regexp_replace(axis, "_proxy$", ""), "_score$", "")
+
+
+def axis_name(axis: Column) -> Column:
+    """An axis as a heading, both sides of it."""
+    return _capitalised(F.replace(_bare(F.lower(axis)), F.lit("_"), F.lit(" ")))
+
+
 def axis_label(axis: Column, score: Column) -> Column:
     """A side's name for ``a_vs_b`` by the sign of the score; else the name without its suffix."""
     low = F.lower(axis)
     sides = F.split(low, "_vs_", 2)
-    plain = F.regexp_replace(F.regexp_replace(low, "_proxy$", ""), "_score$", "")
+    plain = _bare(low)
     name = F.when(F.contains(low, F.lit("_vs_")), F.when(score >= 0, F.get(sides, 0)).otherwise(F.get(sides, 1))).otherwise(plain)
     return _capitalised(F.replace(name, F.lit("_"), F.lit(" ")))

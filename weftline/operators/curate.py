@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline import folders
 from weftline.functions import lexicon as lx
 
 
 def scored(records: DataFrame, lexicon: lx.Lexicon = lx.DEFAULT) -> DataFrame:
     """Adds ``caption_score``, ``excluded`` and ``excluded_term``; one map."""
-    s = records.withColumn("_s", lx.score_caption(F.col("caption"), lexicon))
+    s = records.withColumn("_low", F.lower("caption")).withColumn("_s", lx.score_caption(F.col("caption"), lexicon, F.col("_low")))
     return s.select(*records.columns, F.col("_s.score").alias("caption_score"), F.col("_s.excluded").alias("excluded"), F.col("_s.excluded_term").alias("excluded_term"))
 
 
 def filtered(records: DataFrame, lexicon: lx.Lexicon = lx.DEFAULT, strict: bool = False, mode: str | None = None, min_score: float | None = None) -> DataFrame:
     """Adds ``accepted, reason, matched_term``."""
-    f = records.withColumn("_f", lx.filter_caption(F.col("caption"), lexicon, strict, lx.resolve_min_score(mode, min_score)))
+    low = records.withColumn("_low", F.lower("caption"))
+    f = low.withColumn("_f", lx.filter_caption(F.col("caption"), lexicon, strict, lx.resolve_min_score(mode, min_score), F.col("_low")))
     return f.select(*records.columns, "_f.accepted", "_f.reason", "_f.matched_term")
 
 
@@ -77,7 +79,7 @@ def with_position(rows: DataFrame, *keys: str | Column) -> DataFrame:
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(parts, *keys).select("*", F.spark_partition_id().alias("_part")).sortWithinPartitions(*keys)
-    dealt = dealt.persist()  # sizes and rows must come from the same deal
+    dealt = folders.durable(dealt)  # sizes and rows must come from the same deal
     before, base = 0, []
     for r in sorted(dealt.groupBy("_part").count().collect()):  # a row per partition
         base.append((r[0], before))
@@ -89,10 +91,12 @@ def with_position(rows: DataFrame, *keys: str | Column) -> DataFrame:
 
 def scan_until(filtered_rows: DataFrame, n_images: int, candidate_scan: int) -> DataFrame:
     """The accepted rows that a scan in row order takes until it has ``n_images`` or has seen
-    ``candidate_scan`` rows, with ``position`` in the scan."""
-    seen = with_position(filtered_rows, "row_id").where(F.col("position") < candidate_scan)
-    taken = with_position(seen.where("accepted").withColumnRenamed("position", "scan_position"), "row_id")
-    return taken.where(F.col("position") < n_images).select("row_id", "scan_position", "position")
+    ``candidate_scan`` rows, with ``position`` in the scan. Only the rows taken, at most ``n_images``, are
+    numbered a second time."""
+    seen = with_position(filtered_rows.select("row_id", "accepted"), "row_id").where(F.col("position") < candidate_scan)
+    taken = seen.where("accepted").orderBy("position").limit(n_images).withColumnRenamed("position", "scan_position")
+    place = F.row_number().over(Window.orderBy("scan_position")) - 1
+    return taken.select("row_id", "scan_position", place.cast("long").alias("position"))
 
 
 def rank_candidates(rows: DataFrame, score: str, n: int) -> DataFrame:

@@ -60,15 +60,42 @@ def pca(images: DataFrame, k: int = 2) -> DataFrame:
     return model.transform(centred).select("row_id", F.zip_with(vector_to_array("p"), F.array(*map(F.lit, signs)), lambda x, s: x * s).alias("pc"))
 
 
+#: Rows that UMAP, which runs on the driver, is given at most; more are projected by principal components.
+UMAP_ROWS = 200_000
+
+
+def choose_projection(n: int, umap_there: bool) -> str:
+    """What ``auto`` means for so many rows."""
+    return "trivial" if n < 3 else "umap" if 15 <= n <= UMAP_ROWS and umap_there else "pca"
+
+
 def project(images: DataFrame, method: str = "auto", seed: int = 42) -> DataFrame:
-    """``row_id, x, y``; fewer than three rows get seeded normals, others principal components."""
-    if method not in ("auto", "pca", "trivial"):
+    """``row_id, x, y``: fewer than three rows get seeded normals, others UMAP where it is installed and
+    fits the driver, else principal components."""
+    if method not in ("auto", "pca", "trivial", "umap"):
         raise ValueError(f"unknown projection {method}")
-    if method == "trivial" or (method == "auto" and images.limit(3).count() < 3):
+    if method in ("auto", "umap"):
+        from importlib.util import find_spec
+
+        chosen = choose_projection(images.count(), find_spec("umap") is not None)
+        method = "pca" if method == "umap" and chosen != "umap" else chosen
+    if method == "umap":
+        return umap_projection(images, seed)
+    if method == "trivial":
         return images.select("row_id", F.randn(seed).alias("x"), F.randn(seed + 1).alias("y"))
     return pca(images).select("row_id", F.get("pc", 0).alias("x"), F.coalesce(F.get("pc", 1), F.lit(0.0)).alias("y"))
 
 
+def umap_projection(images: DataFrame, seed: int = 42) -> DataFrame:
+    """At most UMAP_ROWS vectors through the ``umap`` package, on the driver."""
+    import numpy as np
+    import umap
+
+    rows = images.select("row_id", "e").orderBy("row_id").toPandas()
+    found = umap.UMAP(n_neighbors=min(15, len(rows) - 1), min_dist=0.1, metric="cosine", random_state=seed).fit_transform(np.stack(rows.e.to_numpy()))
+    return images.sparkSession.createDataFrame([(int(k), float(x), float(y)) for k, (x, y) in zip(rows.row_id, found, strict=True)], "row_id long, x double, y double")
+
+
 def kmeans(images: DataFrame, k: int, seed: int = 42, restarts: int = 3) -> DataFrame:
     """``row_id, cluster_id`` of the cheapest of several seeded runs; k is clamped to the row count."""
     from pyspark.ml.clustering import KMeans

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.knn import BLOCK_ROWS, DIGITS, QUERY_ROWS
@@ -23,9 +23,10 @@ def eval_queries(garments: DataFrame, least: int = 2) -> DataFrame:
     return own.join(truth, "garment_id", "left").select(F.col("garment_id").alias("qid"), "outfit_id", "category", F.coalesce("truth", F.array().cast("array<bigint>")).alias("truth"))
 
 
-def evaluate(garments: DataFrame, k_values: tuple[int, ...] = (1, 5, 10), mode: str = "cooccurrence") -> DataFrame:
-    """Per category and overall (``category`` null): queries, hit@k, mean reciprocal rank at any rank
-    over the queries that have candidates.
+def evaluate(garments: DataFrame, k_values: tuple[int, ...] = (1, 5, 10), mode: str = "cooccurrence", mrr_at: int | None = None, target_categories: tuple[str, ...] | None = None) -> DataFrame:
+    """Per category and overall (``category`` null): queries, hit@k, mean reciprocal rank over the queries
+    that have candidates: at any rank, or with ranks beyond ``mrr_at`` counted as no hit. Candidates are
+    of other categories than the query's, or of ``target_categories`` where they are given.
 
     ``reference`` leaves the query's own outfit out of the candidates, so nothing can be found and
     every figure is 0; ``cooccurrence`` keeps it, leaving out the query alone.
@@ -35,14 +36,17 @@ def evaluate(garments: DataFrame, k_values: tuple[int, ...] = (1, 5, 10), mode:
     q = eval_queries(garments)
     group = "outfit_id" if mode == "reference" else "garment_id"
     own = "outfit_id" if mode == "reference" else "qid"
-    vectors = garments.select("garment_id", F.col(group).alias("cgroup"), F.coalesce("category", F.lit("")).alias("tag"), "e")
-    asks = q.join(garments.select(F.col("garment_id").alias("qid"), "e"), "qid").select("qid", F.col(own).alias("qgroup"), F.coalesce("category", F.lit("\0")).alias("not_tag"), "e")
+    pool = garments if target_categories is None else garments.where(F.col("category").isin(*target_categories))
+    vectors = pool.select("garment_id", F.col(group).alias("cgroup"), F.coalesce("category", F.lit("")).alias("tag"), "e")
+    not_tag = F.coalesce("category", F.lit("\0")) if target_categories is None else F.lit("\0")
+    asks = q.join(garments.select(F.col("garment_id").alias("qid"), "e"), "qid").select("qid", F.col(own).alias("qgroup"), not_tag.alias("not_tag"), "e")
     hits = q.select("qid", F.explode("truth").alias("cid")).join(vectors.select(F.col("garment_id").alias("cid"), "cgroup", "tag", F.col("e").alias("ce")), "cid")
     ranks = first_ranks(asks, vectors.withColumnRenamed("garment_id", "cid"), hits)
     rows = q.select("qid", "category").join(ranks, "qid", "left")
     met = F.coalesce("candidates", F.lit(0)) > 0
     rank = F.when(F.col("first") > 0, F.col("first"))
-    measures = [F.count(F.lit(1)).alias("n_queries"), *(F.avg(F.coalesce(rank <= x, F.lit(False)).cast("double")).alias(f"hit_at_{x}") for x in k_values), F.coalesce(F.avg(F.when(met, F.coalesce(1 / rank, F.lit(0.0)))), F.lit(0.0)).alias("mrr")]
+    counted = rank if mrr_at is None else F.when(rank <= mrr_at, rank)
+    measures = [F.count(F.lit(1)).alias("n_queries"), *(F.avg(F.coalesce(rank <= x, F.lit(False)).cast("double")).alias(f"hit_at_{x}") for x in k_values), F.coalesce(F.avg(F.when(met, F.coalesce(1 / counted, F.lit(0.0)))), F.lit(0.0)).alias("mrr")]
     return rows.groupBy("category").agg(*measures).unionByName(rows.agg(*measures).withColumn("category", F.lit(None).cast("string")))
 
 
@@ -88,6 +92,13 @@ def first_ranks(asks: DataFrame, candidates: DataFrame, hits: DataFrame) -> Data
     return counts.join(best.select("qid", F.lit(1).alias("found")), "qid", "left").select("qid", "candidates", F.when(F.col("found") == 1, F.col("above") + 1).alias("first"))
 
 
+def compare_models(scores: dict[str, DataFrame], axes: list[str]) -> DataFrame:
+    """``model, axis, lo, hi, mean, sd, width`` of each model's scores (wide tables with a row_id)."""
+    rows = [t.unpivot(["row_id"], axes, "axis", "score").withColumn("model", F.lit(m)) for m, t in scores.items()]
+    s = F.col("score")
+    return reduce(DataFrame.unionByName, rows).groupBy("model", "axis").agg(F.min(s).alias("lo"), F.max(s).alias("hi"), F.avg(s).alias("mean"), F.stddev_samp(s).alias("sd"), (F.max(s) - F.min(s)).alias("width"))
+
+
 def agreement(annotations: DataFrame, scores_long: DataFrame) -> DataFrame:
     """Per axis: agree, disagree, evaluated, accuracy. Ties and blanks are skipped; equal scores and
     NaN disagree; rows whose images lack a score drop out."""
@@ -112,8 +123,25 @@ def images_without_garments(records: DataFrame, garments: DataFrame) -> DataFram
     return records.select("row_id").join(garments.select(F.col("outfit_id").alias("row_id")).distinct(), "row_id", "left_anti")
 
 
-def garment_problems(garments: DataFrame, records: DataFrame) -> DataFrame:
-    """``garment_id, problem``: outfits that no record has, ids given twice."""
+def axis_score_problems(scores: DataFrame, records: DataFrame) -> DataFrame:
+    """``row_id, problem``: rows that scores or records lack. Scores need a row_id and an axis besides."""
+    if "row_id" not in scores.columns:
+        raise ValueError("scores need a row_id")
+    if len(scores.columns) < 2:
+        raise ValueError("scores need an axis")
+    a, b = scores.select("row_id").distinct(), records.select("row_id").distinct()
+    return b.join(a, "row_id", "left_anti").select("row_id", F.lit("no score").alias("problem")).union(a.join(b, "row_id", "left_anti").select("row_id", F.lit("no record").alias("problem")))
+
+
+GARMENT_COLUMNS = ("outfit_id", "garment_id", "category", "crop_path")
+
+
+def garment_problems(garments: DataFrame, records: DataFrame, required: tuple[str, ...] = ("outfit_id", "garment_id")) -> DataFrame:
+    """``garment_id, problem``: outfits that no record has, ids given twice. ``required`` columns must be there
+    (GARMENT_COLUMNS for a whole bundle)."""
+    absent = [c for c in required if c not in garments.columns]
+    if absent:
+        raise ValueError(f"garments lack {', '.join(absent)}")
     known = records.select(F.col("row_id").alias("outfit_id")).distinct()
     lost = garments.join(known, "outfit_id", "left_anti").select("garment_id", F.lit("unknown outfit").alias("problem"))
     twice = garments.groupBy("garment_id").count().where("count > 1").select("garment_id", F.lit("repeated id").alias("problem"))
@@ -128,8 +156,8 @@ def failure_report(cases: list[DataFrame]) -> DataFrame:
     """One row per case (``category, severity, row_id``): how many, and its first 20 ids; errors first."""
     rows = reduce(DataFrame.unionByName, cases)
     order = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    from pyspark.sql import Window
-
-    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("category").orderBy("row_id")))
-    out = ranked.groupBy("category", "severity").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("rn") <= 20, F.col("row_id")))).alias("examples"))
+    # the rank's limit is applied before the shuffle, so a case with very many rows is no single task's work
+    w = Window.partitionBy("category", "severity").orderBy("row_id")
+    first = rows.withColumn("rn", F.row_number().over(w)).where("rn <= 20").groupBy("category", "severity").agg(F.array_sort(F.collect_list("row_id")).alias("examples"))
+    out = rows.groupBy("category", "severity").agg(F.count(F.lit(1)).alias("n")).join(first, ["category", "severity"])
     return out.orderBy(order, "category")

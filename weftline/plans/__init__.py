@@ -1 +1 @@
-
+"""Runs of several steps."""

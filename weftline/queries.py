@@ -317,7 +317,7 @@ METRICS = ("hit_at_1", "hit_at_5", "hit_at_10", "mrr")
 
 @query("with " + EVAL.replace("{pool}", "c.garment_id <> q.garment_id"))
 def e2_evaluate_cooccurrence(spark, d):
-    return _rounded(evaluate.evaluate(vw.garments(spark, d)), *METRICS)
+    return _rounded(evaluate.evaluate(vw.garments(spark, d), mrr_at=10), *METRICS)
 
 
 @query("with " + EVAL.replace("{pool}", "c.outfit_id <> q.outfit_id"))
@@ -521,7 +521,7 @@ def u2_dedupe_urls(spark, d):
 
 @query("select vec_id as row_id from embeddings except select doc_id from labels")
 def u3_except(spark, d):
-    return vw.images(spark, d).select("row_id").exceptAll(vw.table(spark, d, "labels").select("doc_id"))
+    return vw.images(spark, d).select("row_id").subtract(vw.table(spark, d, "labels").select("doc_id"))
 
 
 @query("with b as (select vec_id as row_id, array_to_string(list_transform(range(1, len(embedding)), lambda k: case when embedding[k + 1] > embedding[k] then '1' else '0' end), '') as h from embeddings) select min(row_id) as row_id, h from b group by h")
@@ -593,7 +593,16 @@ def a21_bytes_per_path(spark, d):
     return vw.table(spark, d, "pages").groupBy(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("top")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("html")).alias("bytes"))
 
 
-@query()
+N2 = f"""with p as (select vec_id as a, row_number() over (order by vec_id) - 1 as i, count(*) over () as n from embeddings),
+d as (select p.*, x.axis, t.t from p, (select unnest({_quoted(NAMES)}) as axis) x, (select unnest(range(cast(greatest(1, ceil(200.0 / count(*))) as bigint))) as t from embeddings) t where n > 1),
+m as (select axis, a, (i + 1 + ('0x' || substr(md5('42,' || axis || ',' || t || ',' || a), 1, 8))::bigint % greatest(1, n - 1)) % n as j from d),
+q as (select distinct axis, least(m.a, p.a) as lo, greatest(m.a, p.a) as hi from m join p on p.i = j),
+h as (select *, md5('42,' || axis || ',' || lo || ',' || hi) as h from q),
+r as (select *, row_number() over (partition by axis order by h) as rn from h)
+select axis, case when h < '8' then lo else hi end as image_a_row_id, case when h < '8' then hi else lo end as image_b_row_id from r where rn <= 50"""
+
+
+@query(N2)
 def n2_annotation_pairs(spark, d):
     return tables.sample_pairs(vw.images(spark, d), NAMES, 50)
 

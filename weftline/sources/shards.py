@@ -1,8 +1,9 @@
 """Python data sources: tar shards of captioned images, and raw float16 vector files.
 
 ``spark.dataSource.register(TarShards)``, then ``spark.read.format("tar_shards").load(path)``, where
-``path`` is a tar or a comma-separated list; one partition a tar. ``option("metadata", "true")`` leaves
-image bytes unread. ``VectorFile`` reads ``(n, dim)`` little-endian float16 rows by ranges.
+``path`` is a tar or a comma-separated list; one partition a tar. ``option("metadata", "true")`` reads all
+JSON members in one pass and leaves image bytes unread. ``VectorFile`` reads ``(n, dim)`` little-endian
+float16 rows by ranges, ``NpyVectors`` a numpy file.
 """
 
 from __future__ import annotations
@@ -50,6 +51,9 @@ class TarReader(DataSourceReader):
         return [TarPart(p) for p in self.paths]
 
     def read(self, partition: TarPart) -> Iterator[tuple]:
+        if self.metadata:
+            yield from self._metadata(partition.path)
+            return
         try:
             archive = tarfile.open(fileobj=_open(partition.path))
             members = archive.getmembers()
@@ -67,10 +71,30 @@ class TarReader(DataSourceReader):
             except (ValueError, AttributeError, tarfile.TarError):
                 at += 1
                 continue
-            image = None if self.metadata else archive.extractfile(named[name]).read()
-            yield partition.path, at, stem, caption, url, image
+            yield partition.path, at, stem, caption, url, archive.extractfile(named[name]).read()
             at += 1
 
+    def _metadata(self, path: str) -> Iterator[tuple]:
+        """Every readable JSON member in one pass, with or without its picture; what can't be read is
+        passed over, and a broken archive ends where it breaks."""
+        at = 0
+        try:
+            with tarfile.open(fileobj=_open(path), mode="r|*") as archive:
+                for member in archive:
+                    stem, dot, kind = member.name.rpartition(".")
+                    if not (member.isfile() and dot and kind == "json"):
+                        continue
+                    try:
+                        meta = json.loads(archive.extractfile(member).read())
+                        row = path, at, stem, meta.get("caption"), meta.get("url"), None
+                    except (ValueError, AttributeError):
+                        at += 1
+                        continue
+                    yield row
+                    at += 1
+        except (tarfile.TarError, OSError, EOFError):
+            return
+
 
 class RowRange(InputPartition):
     def __init__(self, start: int, end: int):
@@ -103,11 +127,61 @@ class VectorReader(DataSourceReader):
             raise ValueError(f"{self.path} holds no whole rows of {self.dim}")
         return [RowRange(k, min(n, k + self.rows)) for k in range(0, n, self.rows)] or [RowRange(0, 0)]
 
-    def read(self, partition: RowRange) -> Iterator[tuple]:
+    def read(self, partition: RowRange) -> Iterator:
+        with _open(self.path) as f:
+            data = f.read_at((partition.end - partition.start) * 2 * self.dim, partition.start * 2 * self.dim)
+        yield _batch(partition.start, data, "<f2", self.dim)
+
+
+def _batch(start: int, data: bytes, kind: str, dim: int):
+    """Rows of one width as an Arrow batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = np.frombuffer(data, kind).astype(np.float32)
+    n = len(rows) // dim
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(rows))
+    return pa.record_batch([pa.array(np.arange(start, start + n)), lists], ["global_index", "embedding"])
+
+
+class NpyVectors(DataSource):
+    """``global_index, embedding`` from a two-dimensional numpy file; options path, rows_per_partition."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "npy_vectors"
+
+    def schema(self) -> str:
+        return "global_index long, embedding array<float>"
+
+    def reader(self, schema: StructType) -> NpyReader:
+        return NpyReader(self.options)
+
+
+class NpyReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.path, self.rows = options["path"], int(options.get("rows_per_partition", 65_536))
+
+    def _header(self) -> tuple[tuple, str, int]:
+        """Shape, kind of number, and where the numbers begin; read by the driver and by every task."""
         import numpy as np
 
         with _open(self.path) as f:
-            data = f.read_at((partition.end - partition.start) * 2 * self.dim, partition.start * 2 * self.dim)
-        rows = np.frombuffer(data, "<f2").reshape(-1, self.dim).astype(np.float32)
-        for k, row in enumerate(rows):
-            yield partition.start + k, row.tolist()
+            version = np.lib.format.read_magic(f)
+            shape, by_column, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+            if len(shape) != 2 or by_column or kind.kind != "f":
+                raise ValueError(f"{self.path} isn't a table of floats by row")
+            return shape, kind.str, f.tell()
+
+    def partitions(self) -> list[RowRange]:
+        n = self._header()[0][0]
+        return [RowRange(k, min(n, k + self.rows)) for k in range(0, n, self.rows)] or [RowRange(0, 0)]
+
+    def read(self, partition: RowRange) -> Iterator:
+        import numpy as np
+
+        (_, dim), kind, offset = self._header()
+        width = dim * np.dtype(kind).itemsize
+        with _open(self.path) as f:
+            data = f.read_at((partition.end - partition.start) * width, offset + partition.start * width)
+        yield _batch(partition.start, data, kind, dim)

@@ -3,8 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on every row that the stage before it kept, and all but
 the last return the columns of ``documents``. Tables are written as Parquet between stages.
 
-Defined cases are those of the operators; a document whose text is null or empty scores 0 and goes in
-the first stage, and of rows that share a doc_id one stays in the second.
+Defined cases are those of the operators, and of each stage: a text that is null or empty scores 0 and goes
+in ``quality``, ties at 0.5 stay; ``near_duplicates`` keeps the smallest doc_id of a group, one row of each
+repeated doc_id and every row without one; ``passages`` leaves rows without a doc_id as they are and
+drops texts of which nothing is left; ``decontaminate`` judges every row by its own text; an empty table
+stays empty; columns beyond those of ``documents`` are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,19 +21,18 @@ from weftline.llm import jaccard_groups, knn_quality, pack_pow2, paragraph_dedup
 BROADCAST_ROWS = 1_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """``docs`` whose doc_id is not among ``ids`` (doc_id, null too)."""
-    gone = scratch.save(ids.select(F.col("doc_id").alias("__gone")).distinct(), name)
+def _without(docs: DataFrame, ids: DataFrame, name: str, key: str = "doc_id") -> DataFrame:
+    """``docs`` whose ``key`` is not among ``ids`` (null too)."""
+    own = scratch.free_name(docs, "gone")
+    gone = scratch.save(ids.select(F.col(key).alias(own)).distinct(), name)
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    return docs.join(gone, F.col(key).eqNullSafe(F.col(own)), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.5 or more."""
     model = queries.quality_model(docs, spark, sf_dir)
-    scored = knn_quality.score(docs, model, F.col("text"), [F.col(f"`{c}`") for c in docs.columns if c != "score"])
-    kept = scored.where("score >= 0.5")
-    return kept.select(*docs.columns)
+    return docs.where(knn_quality.scores(docs, model, F.col("text")) >= 0.5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +51,12 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = spaced_seeds.find(docs, queries.table(spark, sf_dir, "benchmark"))
-    return _without(docs, leaks.select("doc_id"), "leaks")
+    """Documents that hold no benchmark item. Rows that share a doc_id, or have none, are judged by their
+    own texts."""
+    key = scratch.free_name(docs, "row")
+    marked = docs.withColumn(key, F.struct("doc_id", F.sha1(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("text")))
+    leaks = spaced_seeds.find(marked.select(key, "text"), queries.table(spark, sf_dir, "benchmark"), doc_id=key)
+    return _without(marked, leaks.select(F.col("doc_id").alias(key)), "leaks", key).drop(key)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

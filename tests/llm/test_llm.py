@@ -3,6 +3,7 @@ import io
 import itertools
 import json
 import random
+import re
 import zipfile
 import zlib
 from collections import Counter
@@ -16,11 +17,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weftline.llm import encode, jaccard_groups, knn_quality, license_scan, lm_lattice, pack_pow2, paragraph_dedup, rule_cascade, scratch, spaced_seeds, token_store, warc_zip
+from weftline.llm import encode, jaccard_groups, knn_quality, license_scan, lm_lattice, pack_pow2, paragraph_dedup, rule_cascade, scratch, shingles, spaced_seeds, token_store, warc_zip
 from weftline.llm.components import connected_components
 from weftline.llm.encode import Encoder
 from weftline.llm.queries import tokenizer
-from weftline.llm.shingles import rolling, shingle_set
+from weftline.llm.shingles import Block, shingle_set, shingle_sets, word_hashes
+from weftline.llm.shingles import blocks as shingle_blocks
 
 BYTES, WORDS_BPE = tokenizer("byte_bpe_50k.json"), tokenizer("word_bpe_49k.json")
 ODD = [(1, None), (2, ""), (3, "   "), (4, "one"), (4, "one"), (5, "a b c d e f g h"), (None, "a b c d e f g h"), (6, "x " * 30_000), (7, "a<|endoftext|>b")]
@@ -224,6 +226,45 @@ def test_lattice_equals_enumeration():
     assert abs((e * lengths).sum() - (2 * 4 + 3 * 3)) < 1e-9  # every byte is spelled once
 
 
+def test_long_words_are_summed_over_whole(monkeypatch):
+    v = lm_lattice.load_vocabulary(tokenizer("piece_bpe_32k.model"))
+    logp = np.log(np.random.default_rng(4).dirichlet(np.ones(v.size)))
+    long = [b"thequickbrownfox" * 30, b"\xe4\xb8\xad" * 100, b"a" * 255, b"ab" * 128, b"x" * 300]
+    counts = np.array([1.0, 2.0, 1.0, 3.0, 1.0])
+    monkeypatch.setattr(lm_lattice, "STRETCH", 1 << 20)
+    want, uses = lm_lattice.word_log10(v, logp, long), lm_lattice.word_expected(v, logp, long, counts)
+    for n in (1, 7, 256):
+        monkeypatch.setattr(lm_lattice, "STRETCH", n)
+        assert np.allclose(lm_lattice.word_log10(v, logp, long), want, rtol=0, atol=1e-9)
+        assert np.allclose(lm_lattice.word_expected(v, logp, long, counts), uses, rtol=1e-9, atol=1e-12)
+    # a segmentation alone weighs less than all of them
+    single = {p: i for n, (h, ids) in enumerate(zip(v.hashes, v.ids), 1) if n == 1 for p, i in zip(h.tolist(), ids.tolist(), strict=True)}
+    by_byte = sum(logp[single[int(lm_lattice._hash(np.array([[c]], np.uint8))[0])]] for c in b" " + long[4]) / np.log(10)
+    assert want[4] > by_byte
+
+
+def test_scores_of_whole_texts(spark):
+    """Every text's score against the sum over its words of the enumerated probability, and the end."""
+    rows = [(1, "in the in"), (2, "The\tq"), (3, None), (4, "été the")]
+    cols = (F.col("doc_id"), F.col("text"), F.col("doc_id") == 4)
+    df = table(spark, rows)
+    path = tokenizer("piece_bpe_32k.model")
+    model = lm_lattice.fit(df, path, *cols, rounds=2)
+    v = lm_lattice.load_vocabulary(path)
+    got = {r.doc_id: r.score for r in lm_lattice.score(df, model, *cols).collect()}
+    known = {(n, h): i for n, (hs, ids) in enumerate(zip(v.hashes, v.ids, strict=True), 1) for h, i in zip(hs.tolist(), ids.tolist(), strict=True)}
+    code = lambda b: int(lm_lattice._hash(np.frombuffer(b, np.uint8)[None])[0])
+
+    def ways(b):
+        if not b:
+            return 1.0
+        return sum(np.exp(model.logp[known[n, code(b[:n])]]) * ways(b[n:]) for n in range(1, min(len(b), len(v.hashes)) + 1) if (n, code(b[:n])) in known)
+
+    for i, t in rows:
+        want = sum(np.log10(ways(b" " + w)) for w in (t or "").encode().lower().split()) + model.logp[-1] / np.log(10)
+        assert abs(got[i] - want) < 1e-9
+
+
 def test_lm_counts(spark):
     rows = [*ODD, (20, "The THE cat"), (21, "unseen cat")]
     held = F.col("doc_id") == 21
@@ -260,6 +301,33 @@ def test_quality_votes(spark):
     assert {r.score for r in knn_quality.score(docs.where("doc_id = 5"), none, F.col("text"), [F.col("doc_id")]).collect()} == {0.5}
 
 
+# shingles -------------------------------------------------------------------------------------
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from([*" \n\t\x0b\x0cAaBb\0é\x1c\u00a0", "long" * 30, "abcdefgh", "abcdefghi"]), max_size=20).map("".join))), st.sampled_from([1, 30, 1 << 20]))
+def test_words_are_hashed_alike_in_any_block(texts, size):
+    kept, shingles.BLOCK_BYTES = shingles.BLOCK_BYTES, size
+    try:
+        column = pa.array([t if t is None else t.encode() for t in ["x", *texts]], pa.binary()).slice(1)
+        got = [w for b in shingle_blocks(column) for w in b.texts()]
+        sets = [x for b in shingle_blocks(column) for x in shingle_sets(b)]
+    finally:
+        shingles.BLOCK_BYTES = kept
+    assert len(got) == len(sets) == len(texts)
+    for t, w, x in zip(texts, got, sets, strict=True):
+        want = (t or "").encode().lower().split()
+        assert len(w) == len(want) and w.tolist() == word_hashes((t or "").encode()).tolist()
+        for k, word in enumerate(want):
+            assert _seen.setdefault(word, w[k]) == w[k]
+        fives = {tuple(want[k : k + 5]) for k in range(max(1, len(want) - 4))} if want else set()
+        assert len(x) == len(fives) and x.tolist() == sorted(x.tolist()) == shingle_set((t or "").encode()).tolist()
+    assert len(set(_seen.values())) == len(_seen)
+
+
+_seen: dict = {}
+
+
 # text -----------------------------------------------------------------------------------------
 
 
@@ -317,6 +385,7 @@ def _families(seed):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard_against_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(jaccard_groups, "SLICE", 3)
+    monkeypatch.setattr(jaccard_groups, "ASKING", 2)
     rows = [*ODD, *_families(seed)]
     got = jaccard_groups.join(table(spark, rows)).collect()
     assert len(got) == len(rows)
@@ -334,6 +403,30 @@ def test_jaccard_against_brute_force(spark, seed, monkeypatch):
     assert jaccard_groups.join(table(spark, [])).count() == 0
 
 
+def test_repeated_words_give_few_rows():
+    n = 2000
+    block = next(shingle_blocks(pa.array([b"ab cd " * n, " ".join(words(60, 1)).encode()], pa.binary())))
+    keys, texts, runs = paragraph_dedup.band_values(block)
+    assert (texts == 0).sum() <= 8 * 2 * (2 * n // 46 + 2)
+    at, start, length = paragraph_dedup.unpacked(runs)
+    assert ((start <= at) & (at < start + 46) & (length >= 1) & (length <= 46)).all()
+    for text, windows in ((0, 2 * n - 49), (1, 11)):  # every band covers every window once
+        assert length[texts == text].sum() == 8 * windows
+
+
+def test_periodic_passages(spark):
+    rows = [(1, " ".join([*words(30, 1), *["ab", "cd"] * 80])), (2, " ".join([*words(37, 2), *["ab", "cd"] * 200, *words(10, 3)])), (3, "ab cd " * 60), (4, "ab " * 500), (5, " ".join([*words(9, 4), *["ab"] * 70]))]
+    spans = [tuple(r) for r in paragraph_dedup.find(table(spark, rows)).collect()]
+    assert _uncovered(rows, spans) == []
+
+
+def test_passages_of_whole_copies(spark):
+    long, short = words(70, 31), words(49, 32)
+    rows = [(9, " ".join(long)), (7, " ".join(long)), (8, " ".join(long)), (7, " ".join(long)), (5, " ".join(short)), (6, " ".join(short)), (None, " ".join(long)), (10, " ".join([*words(20, 33), *long]))]
+    got = sorted(tuple(r) for r in paragraph_dedup.find(table(spark, rows)).collect())
+    assert got == [(8, 0, 70, 7, 7), (9, 0, 70, 7, 7), (10, 20, 90, 7, 7)]
+
+
 def test_passages(spark):
     p = words(60, 9)
     docs = [(20 + i, " ".join([*words(80 + i, 50 + i), *p, *words(70, 90 + i)])) for i in range(5)]
@@ -380,8 +473,8 @@ def test_bands_retrieve_altered_passages(n):
         a = r.integers(0, 2**63, n, dtype=np.uint64)
         b = a.copy()
         b[r.integers(5, n - 5)] = 7
-        rows = [rolling(np.concatenate([r.integers(0, 2**63, 80, dtype=np.uint64), x, r.integers(0, 2**63, 80, dtype=np.uint64)])) for x in (a, b)]
-        missed += not len(np.intersect1d(*(paragraph_dedup.band_values(x)[0] for x in rows)))
+        rows = [np.concatenate([r.integers(0, 2**63, 80, dtype=np.uint64), x, r.integers(0, 2**63, 80, dtype=np.uint64)]) for x in (a, b)]
+        missed += not len(np.intersect1d(*(paragraph_dedup.band_values(Block(0, x, np.array([0, len(x)])))[0] for x in rows)))
     assert missed <= 2
 
 
@@ -448,6 +541,37 @@ def test_licenses(spark):
     assert license_scan.find(table(spark, [])).count() == 0
 
 
+def _fives(text):
+    w = [x for x in re.split(r"[\W_]+", text.lower()) if x]
+    return [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_licenses_against_brute_force(spark, monkeypatch, broadcast):
+    """Altered templates: every document whose best window of any class holds 80 % of a template's shingles is
+    found but for a band's miss, and no other."""
+    if not broadcast:
+        monkeypatch.setattr(license_scan, "BROADCAST_ROWS", 3)
+    r, docs = random.Random(8), [*ODD]
+    known = [(k, sorted(set(_fives(t)))) for k, (_, t) in enumerate(license_scan.TEMPLATES)]
+    for k, (_, t) in enumerate(license_scan.TEMPLATES):
+        for j in range(6):
+            w = t.split()
+            for _ in range(len(w) * j // 100 + (j > 0)):
+                w[r.randrange(len(w))] = "zz"
+            docs.append((1000 + 10 * k + j, " ".join([*words(r.randrange(90), 10 * k + j), *w, *words(40, 999 + j)])))
+    want = set()
+    for i, t in docs:
+        fives = _fives(t or "")
+        for k, own in known:
+            c = 1 << (len(own) - 1).bit_length()
+            best = max((len(set(fives[at : at + 2 * c]) & set(own)) for at in range(0, len(fives), c)), default=0)
+            if i and 100 * best >= 80 * len(own):
+                want.add((i, k, best))
+    got = {(x.doc_id, x.template, x.held) for x in license_scan.find(table(spark, docs), short=[]).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 60
+
+
 def test_short_statements(spark):
     docs = [*ODD, (50, "Some text.\nALL rights  reserved.\nMore. All rights reserved"), (51, "all rights are reserved"), (52, "all rights reserved"), (53, " ".join(words(30, 1)) + " (MIT license)")]
     got = {tuple(r) for r in license_scan.find(table(spark, docs)).collect()}

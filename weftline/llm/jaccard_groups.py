@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .components import connected_components
-from .shingles import mix, overlap, shingle_set, similar
+from .shingles import Block, blocks, mix, overlap, shingle_set, shingle_sets, similar
 
 PERCENT = 80
 #: Star keys per class, each of so many min-hashes: a pair at 0.8 shares one with 1 - (1 - 0.64)**8 > 0.999.
@@ -46,20 +46,36 @@ KEYS, ROWS = 8, 2
 SKETCH, SKETCH_ROW = 1 << 21, 1 << 16
 #: Classes in a slice of a group, on average at most.
 SLICE = 128
+#: Classes that ask a slice of a group together, on average at most.
+ASKING = 128
 #: Id lists of at most so many rows are broadcast (8 bytes a row), longer ones are joined by key.
 BROADCAST_ROWS = 1_000_000
 
-_SEEDS = mix(np.arange(1, KEYS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+#: Odd factors: each orders all 64-bit values anew, by a bijection.
+_SEEDS = mix(np.arange(1, KEYS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
-def star_keys(s: np.ndarray) -> list[int]:
-    """KEYS signed 64-bit keys, each from ROWS min-hashes of a set that isn't empty."""
-    with np.errstate(over="ignore"):
-        low = np.array([mix(s ^ seed).min() for seed in _SEEDS]).reshape(KEYS, ROWS)
-        h = np.arange(KEYS, dtype=np.uint64)
-        for k in range(ROWS):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + low[:, k])
-    return h.view(np.int64).tolist()
+def _joined(block: Block) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The shingle sets of a block's texts, the sets that aren't empty one after another, and where each of
+    those begins."""
+    sets = list(shingle_sets(block))
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    some = sizes[sizes > 0]
+    return sets, np.concatenate([block.words[:0], *sets]), np.cumsum(some) - some
+
+
+def star_keys(joined: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """KEYS signed 64-bit keys, each from ROWS min-hashes, for each set that isn't empty."""
+    out = np.zeros((len(begins), KEYS), np.uint64)
+    if len(begins):
+        with np.errstate(over="ignore"):
+            for k in range(KEYS):
+                h = np.full(len(begins), k, np.uint64)
+                for r in range(ROWS):
+                    low = np.minimum.reduceat(joined * _SEEDS[k * ROWS + r], begins)
+                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + low)
+                out[:, k] = h
+    return out.view(np.int64)
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -76,15 +92,15 @@ def describe(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sig, keys = [], [], []
-            for value in batch.column(1):
-                s = shingle_set(value.as_py() or b"")
-                n.append(len(s))
-                sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                keys.append(star_keys(s) if len(s) else [])
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(sig), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "keys"])
+            for block in blocks(batch.column(1)):
+                sets, joined, begins = _joined(block)
+                n = np.fromiter(map(len, sets), np.int64, len(sets))
+                sig = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
+                bounds = pa.array(np.append(0, np.cumsum((n > 0) * KEYS)), pa.int32())
+                keys = pa.ListArray.from_arrays(bounds, pa.array(star_keys(joined, begins).ravel()))
+                yield pa.record_batch([batch.column(0).slice(block.first, len(block)), pa.array(n), pa.array(sig, pa.binary()), keys], ["doc_id", "n", "sig", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig binary, keys array<long>")
+    return scratch.map_arrow(docs, run, "doc_id long, n long, sig binary, keys array<long>")
 
 
 def rarity_sketch(docs: DataFrame) -> np.ndarray:
@@ -92,16 +108,9 @@ def rarity_sketch(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.uint32)
-        held, size = [], 0
         for batch in batches:
-            for value in batch.column(1):
-                held.append((shingle_set(value.as_py() or b"") & np.uint64(SKETCH - 1)).astype(np.int64))
-                size += len(held[-1])
-                if size > 1 << 20:
-                    total += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.uint32)
-                    held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.uint32)
+            for block in blocks(batch.column(1)):
+                total += np.bincount((_joined(block)[1] & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
         press = zstandard.ZstdCompressor(level=1)
         rows = [press.compress(total[at : at + SKETCH_ROW].tobytes()) for at in range(0, SKETCH, SKETCH_ROW)]
         yield pa.record_batch([pa.array(range(len(rows)), pa.int32()), pa.array(rows)], ["block", "counts"])
@@ -113,7 +122,7 @@ def rarity_sketch(docs: DataFrame) -> np.ndarray:
                 total += np.frombuffer(unpress.decompress(row), np.uint32)
         yield pd.DataFrame({"block": [key[0]], "counts": [zstandard.compress(total.tobytes(), 1)]})
 
-    rows = docs.mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary").collect()
+    rows = scratch.map_arrow(docs, count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary").collect()
     out = np.zeros(SKETCH, np.float32)  # bounded: SKETCH counters
     for r in rows:
         out[r.block * SKETCH_ROW : (r.block + 1) * SKETCH_ROW] = np.frombuffer(zstandard.decompress(bytes(r.counts)), np.uint64)
@@ -126,26 +135,22 @@ def prefix_tokens(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFram
     held = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = held.value
+        rarity = held.value.view(np.uint32)  # floats of one sign are ordered as their bits are
         for batch in batches:
-            found, owners, places, sizes, size = [], [], [], [], 0
-            for node, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = shingle_set(value.as_py() or b"")
-                if not len(s):
-                    continue
-                k = prefix_length(len(s), percent)
-                found.append(s[np.lexsort((s, rarity[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))[:k]].view(np.int64))
-                owners.append(np.full(k, node, np.int64))
-                places.append(np.arange(k, dtype=np.int32))
-                sizes.append(np.full(k, len(s), np.int32))
-                size += k
-                if size > 200_000:
-                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in (found, owners, places, sizes)], ["token", "node", "at", "n"])
-                    found, owners, places, sizes, size = [], [], [], [], 0
-            if found:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (found, owners, places, sizes)], ["token", "node", "at", "n"])
-
-    return docs.mapInArrow(run, "token long, node long, at int, n int")
+            nodes = batch.column(0).to_numpy()
+            for block in blocks(batch.column(1)):
+                sets, joined, begins = _joined(block)
+                order = rarity[(joined & np.uint64(SKETCH - 1)).astype(np.int64)]
+                some = np.array([k for k, x in enumerate(sets) if len(x)], np.int64)
+                # a stable sort of sorted shingles: by rarity, then by hash
+                found = [sets[k][np.argsort(order[at : at + len(sets[k])], kind="stable")[: prefix_length(len(sets[k]), percent)]] for k, at in zip(some.tolist(), begins.tolist(), strict=True)]
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                places = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                n = np.fromiter((len(sets[k]) for k in some), np.int32, len(some))
+                if found:
+                    yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(nodes[block.first + some], sizes)), pa.array(places.astype(np.int32)), pa.array(np.repeat(n, sizes))], ["token", "node", "at", "n"])
+
+    return scratch.map_arrow(docs, run, "token long, node long, at int, n int")
 
 
 def verified(edges: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -164,7 +169,7 @@ def verified(edges: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     ta, tb = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
     both = edges.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").sortWithinPartitions("b")
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return scratch.map_arrow(both, run, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, described: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -219,7 +224,10 @@ def _open(docs: DataFrame, asks: DataFrame, grouped: DataFrame, percent: int) ->
     members = wanted.join(members, "h", "left").select("h", "size", F.coalesce("m", "h").alias("m"))
     slices = lambda size: F.ceil(size / SLICE).cast("int")
     members = scratch.save(members.select("m", "h", F.pmod(F.xxhash64("m"), slices(F.col("size"))).alias("s")), "members")
-    queries = asks.select("node", "h", F.explode(F.sequence(F.lit(0), slices(F.col("size")) - 1)).alias("s"))
+    # queries come in blocks, each with a copy of the slice: no task holds all that ask one group
+    ways = scratch.save(asks.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / ASKING).cast("int").alias("ways")), "ways")
+    asks = asks.join(ways, "h").withColumn("q", F.pmod(F.xxhash64("node"), F.col("ways")))
+    queries = asks.select("node", "h", "q", F.explode(F.sequence(F.lit(0), slices(F.col("size")) - 1)).alias("s"))
     ids = scratch.save(members.select(F.col("m").alias("doc_id")).union(asks.select("node")).distinct(), "opened")
     texts = scratch.save(docs.join(_limited(ids, ids.count()), "doc_id", "left_semi"), "opened-texts")
 
@@ -239,9 +247,9 @@ def _open(docs: DataFrame, asks: DataFrame, grouped: DataFrame, percent: int) ->
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     named = lambda node, text: texts.select(F.col("doc_id").alias(node), F.col("text").alias(text))
-    left = members.join(named("m", "mt"), "m").select(F.col("h").alias("mh"), F.col("s").alias("ms"), "m", "mt")
-    right = queries.join(named("node", "qt"), "node").select(F.col("h").alias("qh"), F.col("s").alias("qs"), "node", "qt")
-    return left.groupBy("mh", "ms").cogroup(right.groupBy("qh", "qs")).applyInPandas(compare, "a long, b long")
+    left = members.join(named("m", "mt"), "m").join(ways, "h").select(F.col("h").alias("mh"), F.col("s").alias("ms"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways").cast("long") - 1)).alias("mq"), "m", "mt")
+    right = queries.join(named("node", "qt"), "node").select(F.col("h").alias("qh"), F.col("s").alias("qs"), F.col("q").alias("qq"), "node", "qt")
+    return left.groupBy("mh", "ms", "mq").cogroup(right.groupBy("qh", "qs", "qq")).applyInPandas(compare, "a long, b long")
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:

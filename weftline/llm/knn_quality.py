@@ -1,18 +1,19 @@
-"""Quality by nearest-neighbour voting in a latent space.
+"""Quality by nearest-neighbour voting in a latent-semantic space.
 
-Texts become counts of byte-class pairs (letters, digits, blanks and marks by class, so the language
-matters little) with three measures of repetition; weighting by inverse document frequency and a
-truncated singular value decomposition, both learned from labelled texts, turn them into short unit
-vectors. The labelled vectors (at most ``max_labelled``, a fixed bound) are broadcast, and each
-document's exact cosine with every one of them is computed block by block; the ``neighbours``
-nearest vote with their similarity as weight.
+Texts become counts of terms (words, hashed into ``TERMS`` counters) and of byte-class pairs (letters,
+digits, blanks and marks by class, for what terms don't show), with three measures of repetition.
+Weighting by inverse document frequency and a truncated singular value decomposition, both learned from
+labelled texts, turn them into short unit vectors. The labelled vectors (at most ``max_labelled``, a
+fixed bound) are broadcast, and each document's exact cosine with every one of them is computed block by
+block; the ``neighbours`` nearest vote with weight similarity ** ``SHARPNESS``.
 
 Learning takes at most ``max_labelled`` labelled rows, half of them from each label where there are
 enough, chosen by a hash of the doc_id; scoring covers every row in one map, without a shuffle.
 
 Defined cases: a null, empty or blank text scores 0; rows without a 0/1 label are not learned from;
 repeated rows of one doc_id and label are learned from once; with no usable labelled row every text scores 0.5;
-ties among neighbours are broken by the order of (label, doc_id); an empty table gives no rows.
+ties among neighbours are broken by the order of (label, doc_id); very long texts are counted whole; an
+empty table gives no rows; other columns are carried along, one named ``score`` gives way to the score.
 """
 
 from __future__ import annotations
@@ -26,8 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+from .shingles import word_hashes
+
 MAX_LABELLED = 4000
-DIMENSIONS = 48
+DIMENSIONS = 64
+#: Counters for hashed words (at most 65535), and their weight against the byte-class pairs.
+TERMS, TERM_WEIGHT = 4096, 0.5
+#: The power of the similarity that a vote weighs.
+SHARPNESS = 8
 NEIGHBOURS = 15
 #: Documents and labelled vectors that meet in one matrix product.
 DOC_BLOCK, LABEL_BLOCK = 256, 1000
@@ -50,7 +58,9 @@ def _classes() -> np.ndarray:
 
 CLASSES = _classes()
 N_CLASSES = int(CLASSES.max()) + 1
-WIDTH = N_CLASSES * N_CLASSES + EXTRAS
+PAIRS = N_CLASSES * N_CLASSES
+#: Columns: pairs, extras, terms.
+WIDTH = PAIRS + EXTRAS + TERMS
 
 
 def _repetition(text: bytes) -> tuple[float, float, float]:
@@ -65,17 +75,47 @@ def _repetition(text: bytes) -> tuple[float, float, float]:
 
 
 def features(texts: list[bytes]) -> np.ndarray:
-    """A row per text: square roots of pair shares, then the extras. Blank texts are zero rows."""
+    """A row per text: square roots of pair shares, the extras, square roots of term shares. Blank texts
+    are zero rows."""
     out = np.zeros((len(texts), WIDTH), np.float32)
-    pairs = N_CLASSES * N_CLASSES
     for k, text in enumerate(texts):
         if not text.strip():
             continue
         c = CLASSES[np.frombuffer(text, np.uint8)]
         if len(c) > 1:
-            n = np.bincount(c[:-1] * N_CLASSES + c[1:], minlength=pairs)
-            out[k, :pairs] = np.sqrt(n / (len(c) - 1))
-        out[k, pairs:] = _repetition(text)
+            n = np.bincount(c[:-1] * N_CLASSES + c[1:], minlength=PAIRS)
+            out[k, :PAIRS] = np.sqrt(n / (len(c) - 1))
+        out[k, PAIRS : PAIRS + EXTRAS] = _repetition(text)
+        words = word_hashes(text)
+        n = np.bincount((words & np.uint64(TERMS - 1)).astype(np.int64), minlength=TERMS)
+        out[k, PAIRS + EXTRAS :] = np.sqrt(n / len(words))
+    return out
+
+
+def _squeeze(row: np.ndarray) -> bytes:
+    """The places and half-precision values that aren't zero."""
+    at = np.flatnonzero(row)
+    return at.astype("<u2").tobytes() + row[at].astype("<f2").tobytes()
+
+
+def _spread(row: bytes) -> np.ndarray:
+    out, half = np.zeros(WIDTH, np.float32), len(row) // 2
+    out[np.frombuffer(row[:half], "<u2")] = np.frombuffer(row[half:], "<f2")
+    return out
+
+
+def basis(x: np.ndarray, dimensions: int) -> np.ndarray:
+    """The first right singular vectors of ``x``, as columns (zero beyond its rank), by subspace iteration
+    from a fixed start; each one's largest part is positive."""
+    n = min(dimensions, *x.shape)
+    out = np.zeros((x.shape[1], dimensions), np.float32)
+    if n:
+        q = np.random.default_rng(1).standard_normal((x.shape[1], min(n + 16, *x.shape))).astype(np.float32)
+        for _ in range(8):
+            q, _ = np.linalg.qr(x.T @ (x @ q))
+        _, found, v = np.linalg.svd(x @ q, full_matrices=False)
+        v = (q @ v.T)[:, :n] * (found[:n] > 1e-6 * max(1e-12, found[0]))
+        out[:, :n] = v * np.where(v[np.abs(v).argmax(axis=0), np.arange(n)] < 0, -1, 1)
     return out
 
 
@@ -107,7 +147,7 @@ class Model:
             if best.shape[1] > k:
                 top = np.sort(np.argpartition(-best, k - 1, axis=1)[:, :k], axis=1)
                 best, labels = np.take_along_axis(best, top, 1), np.take_along_axis(labels, top, 1)
-        weight = np.maximum(best, 0).astype(np.float64) ** 8 + 1e-9
+        weight = np.maximum(best, 0).astype(np.float64) ** SHARPNESS + 1e-9
         score = (weight * labels).sum(1) / weight.sum(1)
         score[~rows.any(axis=1)] = 0.0
         return score
@@ -124,42 +164,47 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = features([x or b"" for x in batch.column(1).to_pylist()]).astype(np.float16)
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([x.tobytes() for x in found])], ["doc_id", "label", "row"])
+            for at in range(0, batch.num_rows, DOC_BLOCK):
+                part = batch.slice(at, DOC_BLOCK)
+                found = features([x or b"" for x in part.column(1).to_pylist()])
+                yield pa.record_batch([part.column(0), part.column(2), pa.array(map(_squeeze, found), pa.binary())], ["doc_id", "label", "row"])
 
     chosen = [marks.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half) for value in (0, 1)]
     few = chosen[0].union(chosen[1]).collect()  # at most max_labelled pairs
     small = docs.sparkSession.createDataFrame([tuple(r) for r in few], "doc_id long, label int")
-    got = texts.join(F.broadcast(small), "doc_id").select("doc_id", "text", "label").mapInArrow(extract, "doc_id long, label int, row binary")
+    got = scratch.map_arrow(texts.join(F.broadcast(small), "doc_id").select("doc_id", "text", "label"), extract, "doc_id long, label int, row binary")
     # a doc_id that many rows repeat counts once for each label row: the result stays bounded
     got = sorted(got.groupBy("doc_id", "label").agg(F.min("row").alias("row")).collect(), key=lambda r: (r.label, r.doc_id))
     vectors, targets = [bytes(r.row) for r in got], [r.label for r in got]
-    x = np.stack([np.frombuffer(v, np.float16) for v in vectors]).astype(np.float32) if vectors else np.zeros((0, WIDTH), np.float32)
+    x = np.stack([_spread(v) for v in vectors]) if vectors else np.zeros((0, WIDTH), np.float32)
     seen = x.any(axis=1)
     x, y = x[seen], np.array(targets, np.float32)[seen]
     weights = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
-    weights[-EXTRAS:] = 1.0
-    scatter = (x * weights).T.astype(np.float64) @ (x * weights).astype(np.float64)
-    _, basis = np.linalg.eigh(scatter)
-    basis = basis[:, ::-1][:, :dimensions]
-    basis = basis * np.where(basis[np.abs(basis).argmax(axis=0), np.arange(basis.shape[1])] < 0, -1, 1)
-    model = Model(weights, basis.astype(np.float32), np.zeros((0, dimensions), np.float32), y, neighbours)
+    weights[PAIRS : PAIRS + EXTRAS] = 1.0
+    weights[PAIRS + EXTRAS :] *= np.float32(TERM_WEIGHT)
+    model = Model(weights, basis(x * weights, dimensions), np.zeros((0, dimensions), np.float32), y, neighbours)
     model.vectors = model.project(x).astype(np.float32)
     return model
 
 
-def score(docs: DataFrame, model: Model, text: Column, keep: list[Column]) -> DataFrame:
-    """``keep`` (aliased columns of ``docs``) and ``score``, a row per document."""
-    picked = docs.select(*keep, text.cast("string").cast("binary").alias("__text"))
+def scores(docs: DataFrame, model: Model, text: Column) -> Column:
+    """The score of a text of ``docs`` as a column: nothing but the text goes to Python."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_labelled, dimensions and WIDTH
-    schema = picked.drop("__text").schema.add("score", "double", False)
+    scratch.bound_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = held.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, DOC_BLOCK):
-                part = batch.slice(at, DOC_BLOCK)
-                s = m.score(features([x or b"" for x in part.columns[-1].to_pylist()]))
-                yield pa.record_batch([*part.columns[:-1], pa.array(s, pa.float64())], [*part.schema.names[:-1], "score"])
+        try:
+            for batch in batches:
+                parts = [m.score(features([x or b"" for x in batch.slice(at, DOC_BLOCK).to_pylist()])) for at in range(0, len(batch), DOC_BLOCK)]
+                yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+        finally:
+            scratch.give_back()
+
+    return score_of(text.cast("string").cast("binary"))
 
-    return picked.mapInArrow(run, schema)
+
+def score(docs: DataFrame, model: Model, text: Column, keep: list[Column]) -> DataFrame:
+    """``keep`` (columns of ``docs``, other than score) and ``score``, a row per document."""
+    return docs.select(*keep, scores(docs, model, text).alias("score"))

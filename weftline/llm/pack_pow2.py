@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
 from .encode import with_end, worker_encoder
 
 MAX_LENGTH = 4096
@@ -79,7 +80,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, max_length: int = MAX_LEN
         if columns[0]:
             yield flush()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return scratch.map_arrow(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), cut, PIECES)
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:

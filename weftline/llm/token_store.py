@@ -182,7 +182,7 @@ def _stage(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFra
         if keys:
             yield close()
 
-    return docs.mapInArrow(write, _STAGED)
+    return scratch.map_arrow(docs, write, _STAGED)
 
 
 def _parts(recipes: DataFrame) -> list[tuple]:
@@ -207,7 +207,7 @@ def _parts(recipes: DataFrame) -> list[tuple]:
             yield out()
 
     ordered = recipes.select("part", "before", "n_tokens", "root").repartition("part").sortWithinPartitions("part", "before").drop("before")
-    found = ordered.mapInArrow(roots, "part int, n_docs long, n_ids long, root binary").orderBy("part").collect()
+    found = scratch.map_arrow(ordered, roots, "part int, n_docs long, n_ids long, root binary").orderBy("part").collect()
     rows, base = [], 0
     for r in found:
         rows.append((r.part, r.n_docs, r.n_ids, base, bytes(r.root)))
@@ -255,7 +255,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc
     # the place in the staged packs tells rows of one doc_id apart, so that a repeated or null one is dealt out too
     order = F.col("doc_id").asc_nulls_first(), "root", "home", "row"
     ordered = recipes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ordered.mapInArrow(number, "doc_id long, n_tokens long, root binary, hashes array<binary>, home string, row int, part int, before long").write.parquet(f"{path}/recipes")
+    scratch.map_arrow(ordered, number, "doc_id long, n_tokens long, root binary, hashes array<binary>, home string, row int, part int, before long").write.parquet(f"{path}/recipes")
 
     rows = _parts(spark.read.parquet(f"{path}/recipes"))
     spark.createDataFrame(rows, "part int, n_docs long, n_ids long, base long, root binary").coalesce(1).write.parquet(f"{path}/manifest")
@@ -319,4 +319,4 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 rows.append((r["doc_id"], r["start"], len(ids), ids.tobytes()))
             yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "start", "n_tokens", "ids"])
 
-    return near.mapInArrow(fetch, "doc_id long, start long, n_tokens long, ids binary")
+    return scratch.map_arrow(near, fetch, "doc_id long, start long, n_tokens long, ids binary")

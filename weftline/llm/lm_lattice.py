@@ -4,7 +4,8 @@ The pieces of a public vocabulary file are the arcs of a lattice over each word
 word's bytes); every single byte is an arc too, so any word can be spelled. A forward recursion in
 log space sums over all segmentations and gives the word's marginal probability; a text's is the
 product over its words and one end piece. No piece holds a blank but at its start, so the words'
-lattices are independent and each distinct word is worked out once.
+lattices are independent and each distinct word is worked out once. Words of any length are summed over
+whole; a very long one holds 16 bytes a byte, and its arcs by stretches.
 
 The file's own piece scores are merge ranks, not probabilities: they set the order of the starting
 weights, 1 / (1 + rank), and expectation-maximisation over all distinct training words (forward and
@@ -46,8 +47,8 @@ HEAD, HEAD_BYTES = 1 << 18, 40
 TASK_WORDS = 400_000
 #: Words that go through the recursion together.
 BLOCK = 8192
-#: Longer words are spelled in runs of so many bytes (a product of the runs' marginals).
-LONGEST = 256
+#: Start places whose arcs are held at once; words of any length are summed over whole.
+STRETCH = 256
 LN10 = float(np.log(10))
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -79,6 +80,16 @@ def _hash(rows: np.ndarray) -> np.ndarray:
     return h
 
 
+_WORKER: dict[str, Vocabulary] = {}
+
+
+def worker_vocabulary(path: str) -> Vocabulary:
+    """One vocabulary per Python worker and file."""
+    if path not in _WORKER:
+        _WORKER[path] = load_vocabulary(path)
+    return _WORKER[path]
+
+
 def load_vocabulary(path: str) -> Vocabulary:
     """Pieces of a sentencepiece file that lower-case words can hold, and all single bytes."""
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -123,42 +134,54 @@ def _arcs(v: Vocabulary, words: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _weights(arcs: list[np.ndarray], logp: np.ndarray) -> list[np.ndarray]:
-    padded = np.append(logp, -np.inf)  # id -1 has no weight
-    return [padded[a] for a in arcs]
+def _stretches(v: Vocabulary, words: np.ndarray, back: bool = False) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Arcs for ``STRETCH`` start places at a time, from the first or (``back``) the last stretch on; arcs that
+    pass a stretch's end are among them."""
+    starts = range(0, words.shape[1], STRETCH)
+    for at in reversed(starts) if back else starts:
+        yield at, _arcs(v, words[:, at : at + STRETCH + len(v.hashes) - 1])
 
 
-def forward(arcs: list[np.ndarray], weights: list[np.ndarray], length: int) -> np.ndarray:
-    """Log of the summed weight of all ways to each place; the last column is the marginal."""
-    n = arcs[0].shape[0]
+def forward(v: Vocabulary, logp: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Log of the summed weight of all ways to each place; the last row is the marginal."""
+    n, length = words.shape
     alpha = np.full((length + 1, n), -np.inf)
     alpha[0] = 0
-    for j in range(1, length + 1):
-        for k in range(1, min(j, len(arcs)) + 1):
-            alpha[j] = np.logaddexp(alpha[j], alpha[j - k] + weights[k - 1][:, j - k])
+    padded = np.append(logp, -np.inf)  # id -1 has no weight
+    for at, arcs in _stretches(v, words):
+        weights = [padded[a] for a in arcs]
+        for i in range(at, min(at + STRETCH, length)):
+            for k, w in enumerate(weights, 1):
+                if i + k > length:
+                    break
+                alpha[i + k] = np.logaddexp(alpha[i + k], alpha[i] + w[:, i - at])
     return alpha
 
 
-def expected(arcs: list[np.ndarray], weights: list[np.ndarray], length: int, counts: np.ndarray, size: int) -> np.ndarray:
+def expected(v: Vocabulary, logp: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Expected uses of each piece over the words, weighted by ``counts``."""
-    n = arcs[0].shape[0]
-    alpha = forward(arcs, weights, length)
+    n, length = words.shape
+    alpha = forward(v, logp, words)
     beta = np.full((length + 1, n), -np.inf)
     beta[length] = 0
-    out = np.zeros(size)
-    for i in range(length - 1, -1, -1):
-        for k in range(1, min(length - i, len(arcs)) + 1):
-            step = weights[k - 1][:, i] + beta[i + k]
-            beta[i] = np.logaddexp(beta[i], step)
-            there = arcs[k - 1][:, i] >= 0
-            if there.any():
-                share = np.exp(alpha[i] + step - alpha[length])[there] * counts[there]
-                out += np.bincount(arcs[k - 1][there, i], share, minlength=size)
+    out, padded = np.zeros(v.size), np.append(logp, -np.inf)
+    for at, arcs in _stretches(v, words, back=True):
+        weights = [padded[a] for a in arcs]
+        for i in range(min(at + STRETCH, length) - 1, at - 1, -1):
+            for k, w in enumerate(weights, 1):
+                if i + k > length:
+                    break
+                step = w[:, i - at] + beta[i + k]
+                beta[i] = np.logaddexp(beta[i], step)
+                there = arcs[k - 1][:, i - at] >= 0
+                if there.any():
+                    share = np.exp(alpha[i] + step - alpha[length])[there] * counts[there]
+                    out += np.bincount(arcs[k - 1][there, i - at], share, minlength=v.size)
     return out
 
 
-def _by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Blocks of equal length: which words, their bytes (a blank first), the length."""
+def _by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of equal length: which words, and their bytes (a blank first)."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     for n in np.unique(lengths):
         which = np.flatnonzero(lengths == n)
@@ -166,27 +189,21 @@ def _by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int
         for at in range(0, len(which), block):
             part = which[at : at + block]
             rows = np.frombuffer(b"".join([b" " + words[i] for i in part]), np.uint8).reshape(len(part), n + 1)
-            yield part, rows, int(n) + 1
+            yield part, rows
 
 
 def word_log10(v: Vocabulary, logp: np.ndarray, words: list[bytes]) -> np.ndarray:
     """log10 of each word's marginal probability."""
     out = np.zeros(len(words))
-    for part, rows, length in _by_length(words):
-        for at in range(0, length, LONGEST):
-            piece = rows[:, at : at + LONGEST]
-            arcs = _arcs(v, piece)
-            out[part] += forward(arcs, _weights(arcs, logp), piece.shape[1])[-1] / LN10
+    for part, rows in _by_length(words):
+        out[part] = forward(v, logp, rows)[-1] / LN10
     return out
 
 
 def word_expected(v: Vocabulary, logp: np.ndarray, words: list[bytes], counts: np.ndarray) -> np.ndarray:
     out = np.zeros(v.size)
-    for part, rows, length in _by_length(words):
-        for at in range(0, length, LONGEST):
-            piece = rows[:, at : at + LONGEST]
-            arcs = _arcs(v, piece)
-            out += expected(arcs, _weights(arcs, logp), piece.shape[1], counts[part], v.size)
+    for part, rows in _by_length(words):
+        out += expected(v, logp, rows, counts[part])
     return out
 
 
@@ -218,7 +235,7 @@ def count_words(docs: DataFrame, doc_id: Column, text: Column, held_out: Column)
         yield from rows()
 
     picked = docs.select(F.coalesce(held_out, F.lit(False)).alias("held"), text.cast("string").cast("binary").alias("text"))
-    return picked.mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return scratch.map_arrow(picked, count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -244,14 +261,14 @@ def fit(docs: DataFrame, vocabulary: str, doc_id: Column, text: Column, held_out
         weights = spark.sparkContext.broadcast(logp)
 
         def expect(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
-            v, found = load_vocabulary(vocabulary), 0.0
+            v, found = worker_vocabulary(vocabulary), 0.0
             for batch in batches:
                 found = found + word_expected(v, weights.value, batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float))
             if not np.isscalar(found):
                 used = np.flatnonzero(found)
                 yield pa.record_batch([pa.array(used), pa.array(found[used])], ["piece", "e"])
 
-        sums = counted.where("c > 0").mapInArrow(expect, "piece long, e double").groupBy("piece").agg(F.sum("e").alias("e")).collect()
+        sums = scratch.map_arrow(counted.where("c > 0"), expect, "piece long, e double").groupBy("piece").agg(F.sum("e").alias("e")).collect()
         e = np.full(voc.size, SMOOTHING)  # at most a row per piece
         for r in sums:
             e[r.piece] += r.e
@@ -261,11 +278,11 @@ def fit(docs: DataFrame, vocabulary: str, doc_id: Column, text: Column, held_out
     final = spark.sparkContext.broadcast(logp)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = load_vocabulary(vocabulary)
+        v = worker_vocabulary(vocabulary)
         for batch in batches:
             yield pa.record_batch([*batch.columns, pa.array(word_log10(v, final.value, batch.column(0).to_pylist()))], ["word", "c", "lp"])
 
-    words = scratch.save(counted.mapInArrow(finish, "word binary, c long, lp double"), "word-scores")
+    words = scratch.save(scratch.map_arrow(counted, finish, "word binary, c long, lp double"), "word-scores")
     return Model(logp, words, int(total.n) + ends, int(total.v) + (ends > 0), ends)
 
 
@@ -331,7 +348,7 @@ def score(docs: DataFrame, model: Model, doc_id: Column, text: Column, held_out:
             yield flush()
 
     picked = docs.select(doc_id.cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), text.cast("string").cast("binary").alias("text"))
-    rows = picked.mapInArrow(look, "row long, word binary, n long, doc_id long, held boolean, n_tokens long, n_known long, base double, score double")
+    rows = scratch.map_arrow(picked, look, "row long, word binary, n long, doc_id long, held boolean, n_tokens long, n_known long, base double, score double")
     joined = rows.join(model.words, "word", "left")
     c, n = F.coalesce("c", F.lit(0)), F.col("n")
     parts = joined.select(

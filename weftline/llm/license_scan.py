@@ -8,8 +8,10 @@ with it, so BANDS bands miss with (1 - 0.19)**BANDS, under one in a hundred (``m
 copy collides surely in small classes. Templates retrieved by a band are then checked: the window must
 hold ``PERCENT`` of the template's distinct shingles.
 
-Windows without any shingle of their class's templates can't collide, and are left out before the
-bands are computed. Templates are a parameter; their bands are broadcast, at most ``MAX_TEMPLATES``.
+Only windows that hold some shingle of their class's templates can collide, so a document's shingles are
+looked up in the table of all templates' shingles first; windows are cut, and their bands computed,
+around the hits alone. Templates are a parameter of any number and length: their shingles and bands are
+broadcast up to ``BROADCAST_ROWS`` rows, and joined by key beyond.
 
 Statements shorter than a shingle are a parameter of their own: each is one shingle of all its words,
 held by a run of just these words.
@@ -29,9 +31,10 @@ from . import scratch
 PERCENT = 80
 BANDS = 24
 SHINGLE = 5
-MAX_TEMPLATES = 1000
+#: Template shingles and bands of at most so many rows are broadcast (about 40 bytes a row), as are hits.
+BROADCAST_ROWS = 500_000
 
-#: Statements by which common licenses are declared.
+#: Statements by which common licenses are declared, and some whole texts.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
@@ -49,6 +52,10 @@ TEMPLATES = [
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
 ]
 
 #: Statements under five words.
@@ -117,40 +124,43 @@ def find_short(docs: DataFrame, statements: list[tuple[str, str]], first: int, d
     return best.select("doc_id", "license", "template", F.lit(1).alias("held"), F.lit(1).alias("template_shingles"), "window")
 
 
-def find(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, doc_id: str = "doc_id", text: str = "text", short: list[tuple[str, str]] = SHORT) -> DataFrame:
+def _few(table: DataFrame) -> DataFrame:
+    """A broadcast hint where the counted rows allow it."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def find(docs: DataFrame, templates: list[tuple[str, str]] | DataFrame = TEMPLATES, doc_id: str = "doc_id", text: str = "text", short: list[tuple[str, str]] = SHORT) -> DataFrame:
     """``doc_id, license, template, held, template_shingles, window``: per document and template the
-    most shingles that a window holds, and the first such window's place in shingles. Short statements
-    are numbered after the templates."""
-    if len(templates) + len(short) > MAX_TEMPLATES:
-        raise ValueError(f"at most {MAX_TEMPLATES} templates")
+    most shingles that a window holds, and the first such window's place in shingles. ``templates``: name
+    and text pairs, or a table (template int, license, words). Short statements are numbered after the
+    templates."""
     spark: SparkSession = docs.sparkSession
-    table = spark.createDataFrame([(k, name, t) for k, (name, t) in enumerate(templates)], "template int, license string, words string")
+    table = templates if isinstance(templates, DataFrame) else spark.createDataFrame([(k, name, t) for k, (name, t) in enumerate(templates)], "template int, license string, words string")
     table = with_shingles(table, "words", "template", "license").select("template", "license", F.array_distinct("h").alias("t"))
     table = scratch.save(table, "templates")
-    table = table.select("*", F.pow(F.lit(2), F.ceil(F.log2(F.size("t")))).cast("int").alias("c"), bands(F.col("t")).alias("b"))
-    rows = table.collect()
-    if any(not r.t for r in rows):
+    if not table.where(F.size("t") == 0).isEmpty():
         raise ValueError("a template needs five words")
-    literal = lambda values: F.array(*map(F.lit, sorted(values)))
-
-    # documents with a shingle of some template; the outer explode keeps Spark from working out the
-    # shingles a second time for a filter below
-    every = literal({x for r in rows for x in r.t})
-    some = with_shingles(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")), "_t", "doc_id")
-    some = some.select("doc_id", F.explode_outer(F.when(F.arrays_overlap("h", every), F.array("h"))).alias("h")).where("h is not null")
-    some = scratch.save(some, "license-candidates")
-    found = None
-    for c in sorted({r.c for r in rows}):
-        own = {x for r in rows if r.c == c for x in r.t}
-        starts = F.explode(F.sequence(F.lit(0), F.size("h") - 1, F.lit(c))).alias("at")
-        windows = some.select("doc_id", "h", starts).select("doc_id", "at", F.slice("h", F.col("at") + 1, F.lit(2 * c)).alias("w"))
-        windows = windows.where(F.arrays_overlap("w", literal(own)))
-        keyed = windows.select("doc_id", "at", "w", F.posexplode(bands(F.col("w"))).alias("band", "low"))
-        known = table.where(F.col("c") == c).select("template", "license", "t", F.posexplode("b").alias("band", "low"))
-        held = F.size(F.array_intersect("w", "t"))
-        hits = keyed.join(F.broadcast(known), ["band", "low"]).select("doc_id", "at", "template", "license", held.alias("held"), F.size("t").alias("n"))
-        hits = hits.where(100 * F.col("held") >= PERCENT * F.col("n"))
-        found = hits if found is None else found.union(hits)
-    best = found.groupBy("doc_id", "template", "license", "n").agg(F.max(F.struct("held", (-F.col("at")).alias("back"))).alias("m"))
+    first = 1 + (table.agg(F.max("template")).head()[0] or 0) if not isinstance(templates, list) else len(templates)
+    table = table.select("*", F.pow(F.lit(2), F.ceil(F.log2(F.size("t")))).cast("int").alias("c"))
+    # rows alike in doc_id and text are one: what they hold is the same
+    own = F.struct(F.col(doc_id).alias("doc_id"), F.sha1(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")).alias("text")).alias("row")
+    some = docs.select(own, F.col(text).alias("_t"))
+
+    # which windows of which class hold a shingle of a template: the i-th window of class c begins at i * c and
+    # holds 2c shingles, so a shingle lies in two of them
+    wanted = _few(scratch.save(table.select("c", F.explode("t").alias("x")).distinct(), "template-shingles"))
+    places = with_shingles(some, "_t", "row").select("row", F.posexplode_outer("h").alias("at", "x")).where("x is not null")
+    near = places.join(wanted, "x").select("row", "c", F.expr("at div c").cast("int").alias("i"))
+    cells = near.select("row", "c", F.explode(F.when(F.col("i") > 0, F.array(F.col("i") - 1, F.col("i"))).otherwise(F.array("i"))).alias("i")).distinct()
+    cells = scratch.save(cells.groupBy("row").agg(F.collect_list(F.struct("c", "i")).alias("cells")), "license-windows")
+
+    windows = with_shingles(some.join(_few(cells), "row"), "_t", "row", "cells").select("row", "h", F.explode("cells").alias("k")).select("row", "k.c", (F.col("k.c") * F.col("k.i")).alias("at"), F.slice("h", F.col("k.c") * F.col("k.i") + 1, 2 * F.col("k.c")).alias("w"))
+    windows = scratch.save(windows, "license-candidates")
+    keyed = windows.select("row", "c", "at", "w", F.posexplode(bands(F.col("w"))).alias("band", "low"))
+    known = scratch.save(table.select("template", "license", "c", "t", F.posexplode(bands(F.col("t"))).alias("band", "low")), "template-bands")
+    held = F.size(F.array_intersect("w", "t"))
+    hits = keyed.join(_few(known), ["c", "band", "low"]).select("row", "at", "template", "license", held.alias("held"), F.size("t").alias("n"))
+    hits = hits.where(100 * F.col("held") >= PERCENT * F.col("n"))
+    best = hits.groupBy(F.col("row.doc_id").alias("doc_id"), "template", "license", "n").agg(F.max(F.struct("held", (-F.col("at")).alias("back"))).alias("m"))
     best = best.select("doc_id", "license", "template", F.col("m.held").alias("held"), F.col("n").alias("template_shingles"), (-F.col("m.back")).alias("window"))
-    return best.union(find_short(docs, short, len(templates), doc_id, text)) if short else best
+    return best.union(find_short(docs, short, first, doc_id, text)) if short else best

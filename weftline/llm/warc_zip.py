@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from . import scratch
 
 MIN_BYTES = 1000
+#: Digests that occur twice, of at most so many rows (about 150 bytes a row), are broadcast.
+BROADCAST_ROWS = 200_000
 #: A package is closed once its records hold so many bytes.
 PACKAGE_BYTES = 48 << 20
 #: Neighbouring records are fetched in one read of at most so many bytes.
@@ -52,14 +54,19 @@ class PackageError(ValueError):
 def assign_revisits(pages: DataFrame, page_id: str, payload: Column, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Adds ``payload, digest, payload_bytes, refers_to`` (null for responses) to the page ids.
 
-    Only digests that occur twice come out of the aggregation, which counts before it shuffles; a
-    digest that holds many pages is split by Spark's skew handling, as the join needs no grouping.
+    Only digests that occur twice come out of the aggregation, which counts before it shuffles. Their list
+    is counted and broadcast up to ``BROADCAST_ROWS``, so that payloads stay where they are; beyond it
+    large payloads alone meet it by key, and a digest that holds many pages is split by Spark's skew
+    handling, as the join needs no grouping.
     """
     keyed = pages.select(F.col(page_id).cast("long").alias("page_id"), *([F.col("url").cast("string").alias("url")] if "url" in pages.columns else [F.lit(None).cast("string").alias("url")]), payload.alias("payload"))
     keyed = keyed.select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
     repeated = keyed.where(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first_id")
     large = F.col("payload_bytes") >= min_bytes
-    return keyed.join(repeated, "digest", "left").select("page_id", "url", "payload", "digest", "payload_bytes", F.when(large & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
+    repeated = scratch.save(repeated.withColumnRenamed("digest", "again"), "repeated-payloads")
+    met = keyed.withColumn("key", F.when(large, F.col("digest")).otherwise(F.concat(F.lit("small "), F.coalesce(F.col("page_id").cast("string"), F.lit("")))))
+    repeated = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
+    return met.join(repeated, F.col("key") == F.col("again"), "left").select("page_id", "url", "payload", "digest", "payload_bytes", F.when(large & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
 
 
 def _urn(page_id: int | None) -> str:
@@ -129,7 +136,7 @@ def write_packages(marked: DataFrame, folder: str) -> DataFrame:
         if index:
             yield close()
 
-    return scratch.save(marked.select("page_id", "url", "payload", "digest", "payload_bytes", "refers_to").mapInArrow(write, "package string, n_records long"), "packages")
+    return scratch.save(scratch.map_arrow(marked.select("page_id", "url", "payload", "digest", "payload_bytes", "refers_to"), write, "package string, n_records long"), "packages")
 
 
 class ZipReader:
@@ -226,6 +233,8 @@ def read_packages(spark: SparkSession, packages: DataFrame, folder: str, with_pa
                         revisit = head["warc-type"] == "revisit"
                         if not revisit and hashlib.sha1(body).hexdigest() != digest:
                             raise PackageError(f"{name}: the payload of {head['warc-record-id']} has changed")
+                        if not revisit and len(body) != int(head["warc-payload-length"]):
+                            raise PackageError(f"{name}: the payload of {head['warc-record-id']} has another length")
                         rows.append({"page_id": _from_urn(head["warc-record-id"]), "url": head.get("warc-target-uri"), "record_type": head["warc-type"], "payload_digest": digest, "payload_bytes": int(head["warc-payload-length"]), "refers_to": _from_urn(head["warc-refers-to"]) if revisit else None, "payload": body if with_payload and not revisit else None})
                         held += len(body)
                         if held > READ_BYTES or len(rows) >= 5000:
@@ -237,4 +246,4 @@ def read_packages(spark: SparkSession, packages: DataFrame, folder: str, with_pa
                         yield pa.RecordBatch.from_pylist(rows, pa.schema(list(types.items())))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return packages.select("package", "n_records").repartition(parts).mapInArrow(read, "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
+    return scratch.map_arrow(packages.select("package", "n_records").repartition(parts), read, "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")

@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weftline.llm import encode, jaccard_groups, knn_quality, license_scan, lm_lattice, pack_pow2, paragraph_dedup, rule_cascade, scratch, shingles, spaced_seeds, token_store, warc_zip
+from weftline.llm import encode, hot, jaccard_groups, knn_quality, license_scan, lm_lattice, pack_pow2, paragraph_dedup, rule_cascade, scratch, shingles, spaced_seeds, token_store, warc_zip
 from weftline.llm.components import connected_components
 from weftline.llm.encode import Encoder
 from weftline.llm.queries import tokenizer
@@ -384,6 +384,9 @@ def _families(seed):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard_against_brute_force(spark, seed, monkeypatch):
+    if seed == 2:  # every token of several classes in the sample is hot
+        monkeypatch.setattr(hot, "LEAST", 2)
+        monkeypatch.setattr(hot, "SHARE", 1 << 30)
     monkeypatch.setattr(jaccard_groups, "SLICE", 3)
     monkeypatch.setattr(jaccard_groups, "ASKING", 2)
     rows = [*ODD, *_families(seed)]
@@ -420,6 +423,18 @@ def test_periodic_passages(spark):
     assert _uncovered(rows, spans) == []
 
 
+def test_hot_values_lose_nothing(spark, monkeypatch):
+    """A passage in every document and one in a few, with and without hot values."""
+    common, rare = words(55, 61), words(52, 62)
+    rows = [(i, " ".join([*words(20 + i, 900 + i), *common, *(rare if i % 9 == 0 else []), *words(10, 990 + i)])) for i in range(60)]
+    df, got = table(spark, rows), []
+    for least, share in ((1 << 30, 1), (20, 1 << 30), (1, 1 << 30)):
+        monkeypatch.setattr(hot, "LEAST", least)
+        monkeypatch.setattr(hot, "SHARE", share)
+        got.append(sorted(tuple(r) for r in paragraph_dedup.find(df).collect()))
+    assert got[0] == got[1] == got[2] and len({r[0] for r in got[0]}) == 59 and _uncovered(rows, got[0]) == []
+
+
 def test_passages_of_whole_copies(spark):
     long, short = words(70, 31), words(49, 32)
     rows = [(9, " ".join(long)), (7, " ".join(long)), (8, " ".join(long)), (7, " ".join(long)), (5, " ".join(short)), (6, " ".join(short)), (None, " ".join(long)), (10, " ".join([*words(20, 33), *long]))]
@@ -478,7 +493,10 @@ def test_bands_retrieve_altered_passages(n):
     assert missed <= 2
 
 
-def test_equal_passages_behind_a_false_leader(spark):
+@pytest.mark.parametrize("least", [50, 2])
+def test_equal_passages_behind_a_false_leader(spark, least, monkeypatch):
+    monkeypatch.setattr(hot, "LEAST", least)
+    monkeypatch.setattr(hot, "SHARE", 1 << 30)
     rows = _false_leaders()
     spans = [tuple(r) for r in paragraph_dedup.find(table(spark, rows)).collect()]
     assert _uncovered(rows, spans) == []

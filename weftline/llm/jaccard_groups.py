@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import hot, scratch
 from .components import connected_components
 from .shingles import Block, blocks, mix, overlap, shingle_set, shingle_sets, similar
 
@@ -192,13 +192,18 @@ def links(docs: DataFrame, described: DataFrame, percent: int = PERCENT) -> Data
 
     # the matrix: prefix tokens of one document per class, kept where several classes have them
     distinct = docs.where("doc_id is not null").join(_limited(copies.select(F.col("a").alias("doc_id")).distinct(), n_copies), "doc_id", "left_anti")
-    tokens = prefix_tokens(distinct.select("doc_id", "text"), rarity_sketch(distinct.select("doc_id", "text")), percent)
-    w = Window.partitionBy("token")
-    shared = tokens.select("*", F.min("node").over(w).alias("low"), F.max("node").over(w).alias("high")).where("low <> high").drop("low", "high")
+    distinct, sketch = distinct.select("doc_id", "text"), rarity_sketch(distinct.select("doc_id", "text"))
+    tokens = prefix_tokens(distinct, sketch, percent)
+    # tokens that are hot in a sample are shared for sure, so their rows needn't come together
+    frequent = hot.hot_keys(prefix_tokens(distinct.where(hot.sampled("doc_id", classes.count())), sketch, percent), "token")
+    w = Window.partitionBy("token", "salt")
+    shared = hot.salted(tokens, frequent, "token", "node").select("*", F.min("node").over(w).alias("low"), F.max("node").over(w).alias("high")).where("hot or low <> high").select(*tokens.columns)
     rows = scratch.save(shared.join(grouped, "node", "left").select("token", "node", "at", "n", F.coalesce("root", "node").alias("g")), "matrix-rows")
+    scratch.free_shuffles(docs.sparkSession)
     sizes = grouped.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("size")).withColumnRenamed("root", "g")
-    matrix = rows.groupBy("token", "g").agg(F.max(F.col("n") - F.col("at") - 1).alias("rest"), F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = matrix.select("*", F.count(F.lit(1)).over(w).alias("groups")).where("groups > 1").drop("groups").join(sizes, "g", "left")
+    cells = scratch.save(rows.groupBy("token", "g").agg(F.max(F.col("n") - F.col("at") - 1).alias("rest"), F.min("n").alias("least"), F.max("n").alias("most")), "matrix-cells")
+    several = scratch.save(cells.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token"), "met-tokens")
+    matrix = cells.join(_limited(several, several.count()), "token", "left_semi").join(sizes, "g", "left")
     matrix = scratch.save(matrix.withColumn("size", F.coalesce("size", F.lit(1))), "matrix")
     other = matrix.select("token", F.col("g").alias("h"), "size", "rest", "least", "most")
     asking = rows.join(matrix.select("token", "g", F.col("size").alias("own")), ["token", "g"])

@@ -65,6 +65,12 @@ def discard(*saved: DataFrame) -> None:
         _quietly_remove(df._scratch_path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what is saved by now. It does so once the driver's collector finds
+    them unused, which otherwise may not run for half an hour."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or a longer one that no column of ``df`` bears."""
     while name.lower() in {c.lower() for c in df.columns}:

@@ -10,7 +10,8 @@ besides, as long as the longest run that their strangers must leave (all of an i
 documents are looked up by the masks of the item lengths that occur.
 
 The seeds of the benchmark are broadcast only up to ``BROADCAST_SEEDS`` rows, and otherwise joined by
-key; hits are written to the shared folder before the documents are read again, and only documents
+key, where Spark splits a seed that very many places share; equal hits are combined before they are
+shuffled. Hits are written to the shared folder before the documents are read again, and only documents
 with a hit are aligned.
 
 Defined cases: a null or empty text has no hit, nor has a document too short for a seed; repeated

@@ -5,6 +5,8 @@ Only small things go through the driver (a manifest, one page); tables and listi
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -28,7 +30,20 @@ def shared(spark: SparkSession) -> str:
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    return f"{shared(spark)}/weftline-{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; it is removed when the driver ends."""
+    path = f"{shared(spark)}/weftline-{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, path)
+    return path
+
+
+def _remove(path: str) -> None:
+    """Best effort, and without a session: it may have ended."""
+    import pyarrow.fs as pafs
+
+    with contextlib.suppress(Exception):
+        fs, inner = (pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if path.startswith("file:") else pafs.FileSystem.from_uri(path)
+        if fs.get_file_info(inner).type != pafs.FileType.NotFound:
+            fs.delete_dir(inner)
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -386,7 +386,6 @@ def _families(seed):
 def test_jaccard_against_brute_force(spark, seed, monkeypatch):
     if seed == 2:  # every token of several classes in the sample is hot
         monkeypatch.setattr(hot, "LEAST", 2)
-        monkeypatch.setattr(hot, "SHARE", 1 << 30)
     monkeypatch.setattr(jaccard_groups, "SLICE", 3)
     monkeypatch.setattr(jaccard_groups, "ASKING", 2)
     rows = [*ODD, *_families(seed)]
@@ -428,9 +427,8 @@ def test_hot_values_lose_nothing(spark, monkeypatch):
     common, rare = words(55, 61), words(52, 62)
     rows = [(i, " ".join([*words(20 + i, 900 + i), *common, *(rare if i % 9 == 0 else []), *words(10, 990 + i)])) for i in range(60)]
     df, got = table(spark, rows), []
-    for least, share in ((1 << 30, 1), (20, 1 << 30), (1, 1 << 30)):
+    for least in (1 << 30, 20, 1):
         monkeypatch.setattr(hot, "LEAST", least)
-        monkeypatch.setattr(hot, "SHARE", share)
         got.append(sorted(tuple(r) for r in paragraph_dedup.find(df).collect()))
     assert got[0] == got[1] == got[2] and len({r[0] for r in got[0]}) == 59 and _uncovered(rows, got[0]) == []
 
@@ -493,10 +491,9 @@ def test_bands_retrieve_altered_passages(n):
     assert missed <= 2
 
 
-@pytest.mark.parametrize("least", [50, 2])
+@pytest.mark.parametrize("least", [400, 2])
 def test_equal_passages_behind_a_false_leader(spark, least, monkeypatch):
     monkeypatch.setattr(hot, "LEAST", least)
-    monkeypatch.setattr(hot, "SHARE", 1 << 30)
     rows = _false_leaders()
     spans = [tuple(r) for r in paragraph_dedup.find(table(spark, rows)).collect()]
     assert _uncovered(rows, spans) == []

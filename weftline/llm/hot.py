@@ -1,4 +1,4 @@
-"""Keys that hold very many rows, so that they can be dealt to several tasks.
+"""Keys that hold very many rows, so that these needn't come together in one task.
 
 A sample of a fixed size finds the keys that hold a large share of all rows. It decides how rows are dealt,
 never which rows count.
@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 from . import scratch
 
 #: Nodes in a sample, on average at least.
-NODES = 20_000
-#: A key is hot if it holds at least this many rows of the sample, and one in SHARE of them; so there are at
-#: most SHARE hot keys.
-LEAST, SHARE = 50, 2000
-#: Tasks that a hot key's rows are dealt to.
-SALTS = 64
+NODES = 8000
+#: A key is hot if it holds at least this many rows of the sample (one node in twenty to forty has it); there are
+#: at most so many fewer hot keys than rows in the sample.
+LEAST = 400
 
 
 def sampled(node: str, n: int) -> Column:
@@ -26,13 +24,14 @@ def sampled(node: str, n: int) -> Column:
 
 
 def hot_keys(sample: DataFrame, key: str) -> DataFrame:
-    """``key, hot`` (true): at most SHARE rows."""
-    counts = scratch.save(sample.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST), "frequent")
-    total = sample.select(key).count() if not counts.isEmpty() else 0
-    return scratch.save(counts.where(F.col("n") * SHARE >= total).select(key, F.lit(True).alias("hot")), "hot")
+    """``key``: the hot ones."""
+    return scratch.save(sample.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).select(key), "hot")
 
 
-def salted(rows: DataFrame, hot: DataFrame, key: str, node: str) -> DataFrame:
-    """Adds ``hot`` (never null) and ``salt``, 0 for keys that aren't hot."""
-    marked = rows.join(F.broadcast(hot), key, "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    return marked.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(node), F.lit(SALTS))).otherwise(F.lit(0)))
+def split(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of other keys, and those of hot ones (None if no key is hot): where both are used, ``rows`` are
+    worked out twice."""
+    if keys.isEmpty():
+        return rows, None
+    held = F.broadcast(keys)
+    return rows.join(held, key, "left_anti"), rows.join(held, key, "left_semi")

@@ -196,10 +196,11 @@ def links(docs: DataFrame, described: DataFrame, percent: int = PERCENT) -> Data
     tokens = prefix_tokens(distinct, sketch, percent)
     # tokens that are hot in a sample are shared for sure, so their rows needn't come together
     frequent = hot.hot_keys(prefix_tokens(distinct.where(hot.sampled("doc_id", classes.count())), sketch, percent), "token")
-    w = Window.partitionBy("token", "salt")
-    shared = hot.salted(tokens, frequent, "token", "node").select("*", F.min("node").over(w).alias("low"), F.max("node").over(w).alias("high")).where("hot or low <> high").select(*tokens.columns)
+    cold, warm = hot.split(tokens, frequent, "token")
+    w = Window.partitionBy("token")
+    shared = cold.select("*", F.min("node").over(w).alias("low"), F.max("node").over(w).alias("high")).where("low <> high").drop("low", "high")
+    shared = shared if warm is None else shared.union(warm.select(*shared.columns))
     rows = scratch.save(shared.join(grouped, "node", "left").select("token", "node", "at", "n", F.coalesce("root", "node").alias("g")), "matrix-rows")
-    scratch.free_shuffles(docs.sparkSession)
     sizes = grouped.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("size")).withColumnRenamed("root", "g")
     cells = scratch.save(rows.groupBy("token", "g").agg(F.max(F.col("n") - F.col("at") - 1).alias("rest"), F.min("n").alias("least"), F.max("n").alias("most")), "matrix-cells")
     several = scratch.save(cells.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token"), "met-tokens")

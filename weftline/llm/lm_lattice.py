@@ -60,12 +60,15 @@ def tokens(text: bytes) -> list[bytes]:
 
 @dataclass
 class Vocabulary:
-    """Pieces by length: sorted hashes and the ids that they stand for; the end piece is the last id."""
+    """Pieces by length: sorted hashes and the ids that they stand for; the end piece is the last id. Of each
+    length also the sorted hashes of what pieces begin with, and the ids of those that are pieces (else -1)."""
 
     hashes: list[np.ndarray]
     ids: list[np.ndarray]
     size: int
     start: np.ndarray
+    prefixes: list[np.ndarray]
+    prefix_ids: list[np.ndarray]
 
     @property
     def end(self) -> int:
@@ -115,73 +118,96 @@ def load_vocabulary(path: str) -> Vocabulary:
             hashes.append(np.zeros(0, np.uint64))
             ids.append(np.zeros(0, np.int64))
     weight = 1 / (1 + np.arange(len(pieces) + 1, dtype=np.float64))
-    return Vocabulary(hashes, ids, len(pieces) + 1, np.log(weight / weight.sum()))
+    prefixes, prefix_ids = [], []
+    for n in range(1, longest + 1):
+        own = sorted({p[:n] for p in pieces if len(p) >= n})
+        h = _hash(np.frombuffer(b"".join(own), np.uint8).reshape(-1, n))
+        order = np.argsort(h)
+        prefixes.append(h[order])
+        prefix_ids.append(np.array([pieces.get(p, -1) for p in own])[order])
+    return Vocabulary(hashes, ids, len(pieces) + 1, np.log(weight / weight.sum()), prefixes, prefix_ids)
+
+
+def _arcs(v: Vocabulary, places: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each piece length (from 1) where pieces start (place * words + word, ascending) and their ids.
+    ``places``: a row of the words' bytes per place. A start is followed as long as some piece goes on so."""
+    n, flat = places.shape[1], places.ravel().astype(np.uint64) + np.uint64(1)
+    at, h, out = np.arange(len(flat)), np.zeros(len(flat), np.uint64), []
+    for k, (keys, ids) in enumerate(zip(v.prefixes, v.prefix_ids, strict=True)):
+        inside = int(np.searchsorted(at, len(flat) - k * n))
+        if not inside:
+            break
+        at = at[:inside]
+        with np.errstate(over="ignore"):
+            h = h[:inside] * _FACTOR + flat[at + k * n]
+        found = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        on = keys[found] == h
+        at, h, found = at[on], h[on], ids[found[on]]
+        piece = found >= 0
+        out.append((at[piece], found[piece]))
+    return out
 
 
-def _arcs(v: Vocabulary, words: np.ndarray) -> list[np.ndarray]:
-    """For each piece length (from 1) the piece ids that start at each place, -1 for none."""
-    n, length = words.shape
-    h, out = np.zeros((n, length + 1), np.uint64), []
-    with np.errstate(over="ignore"):
-        for k in range(1, min(length, len(v.hashes)) + 1):
-            h = h[:, :-1] * _FACTOR + (words[:, k - 1 :].astype(np.uint64) + np.uint64(1))
-            keys = v.hashes[k - 1]
-            if not len(keys):
-                out.append(np.full(h.shape, -1, np.int64))
-                continue
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            out.append(np.where(keys[at] == h, v.ids[k - 1][at], -1))
-    return out
+def _stretches(v: Vocabulary, places: np.ndarray, back: bool = False) -> Iterator[tuple[int, list[tuple]]]:
+    """Arcs for ``STRETCH`` start places at a time, from the first or (``back``) the last stretch on; per piece
+    length the words, the ids, and where each start place's begin. Arcs that pass a stretch's end are
+    among them."""
+    length, n = places.shape
+    starts = range(0, length, STRETCH)
+    for s in reversed(starts) if back else starts:
+        m, out = min(STRETCH, length - s), []
+        for at, ids in _arcs(v, places[s : s + STRETCH + len(v.prefixes) - 1]):
+            bounds = np.searchsorted(at, np.arange(m + 1) * n)
+            out.append((at[: bounds[-1]] % n, ids, bounds.tolist()))
+        yield s, out
 
 
-def _stretches(v: Vocabulary, words: np.ndarray, back: bool = False) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Arcs for ``STRETCH`` start places at a time, from the first or (``back``) the last stretch on; arcs that
-    pass a stretch's end are among them."""
-    starts = range(0, words.shape[1], STRETCH)
-    for at in reversed(starts) if back else starts:
-        yield at, _arcs(v, words[:, at : at + STRETCH + len(v.hashes) - 1])
+def _at_once(v: Vocabulary, places: np.ndarray) -> list | None:
+    """All arcs of words of one stretch, to be used twice."""
+    return list(_stretches(v, places)) if len(places) <= STRETCH else None
 
 
-def forward(v: Vocabulary, logp: np.ndarray, words: np.ndarray) -> np.ndarray:
+def forward(v: Vocabulary, logp: np.ndarray, places: np.ndarray, arcs: list | None = None) -> np.ndarray:
     """Log of the summed weight of all ways to each place; the last row is the marginal."""
-    n, length = words.shape
+    length, n = places.shape
     alpha = np.full((length + 1, n), -np.inf)
     alpha[0] = 0
-    padded = np.append(logp, -np.inf)  # id -1 has no weight
-    for at, arcs in _stretches(v, words):
-        weights = [padded[a] for a in arcs]
-        for i in range(at, min(at + STRETCH, length)):
-            for k, w in enumerate(weights, 1):
-                if i + k > length:
-                    break
-                alpha[i + k] = np.logaddexp(alpha[i + k], alpha[i] + w[:, i - at])
+    for s, by_length in arcs if arcs is not None else _stretches(v, places):
+        for i in range(s, min(s + STRETCH, length)):
+            for k, (words, ids, bounds) in enumerate(by_length, 1):
+                lo, hi = bounds[i - s], bounds[i - s + 1]
+                if lo < hi:
+                    w = words[lo:hi]
+                    alpha[i + k, w] = np.logaddexp(alpha[i + k, w], alpha[i, w] + logp[ids[lo:hi]])
     return alpha
 
 
-def expected(v: Vocabulary, logp: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def expected(v: Vocabulary, logp: np.ndarray, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Expected uses of each piece over the words, weighted by ``counts``."""
-    n, length = words.shape
-    alpha = forward(v, logp, words)
+    length, n = places.shape
+    arcs = _at_once(v, places)
+    alpha = forward(v, logp, places, arcs)
     beta = np.full((length + 1, n), -np.inf)
     beta[length] = 0
-    out, padded = np.zeros(v.size), np.append(logp, -np.inf)
-    for at, arcs in _stretches(v, words, back=True):
-        weights = [padded[a] for a in arcs]
-        for i in range(min(at + STRETCH, length) - 1, at - 1, -1):
-            for k, w in enumerate(weights, 1):
-                if i + k > length:
-                    break
-                step = w[:, i - at] + beta[i + k]
-                beta[i] = np.logaddexp(beta[i], step)
-                there = arcs[k - 1][:, i - at] >= 0
-                if there.any():
-                    share = np.exp(alpha[i] + step - alpha[length])[there] * counts[there]
-                    out += np.bincount(arcs[k - 1][there, i - at], share, minlength=v.size)
+    out = np.zeros(v.size)
+    for s, by_length in arcs if arcs is not None else _stretches(v, places, back=True):
+        used, shares = [], []
+        for i in range(min(s + STRETCH, length) - 1, s - 1, -1):
+            for k, (words, ids, bounds) in enumerate(by_length, 1):
+                lo, hi = bounds[i - s], bounds[i - s + 1]
+                if lo < hi:
+                    w = words[lo:hi]
+                    step = logp[ids[lo:hi]] + beta[i + k, w]
+                    beta[i, w] = np.logaddexp(beta[i, w], step)
+                    used.append(ids[lo:hi])
+                    shares.append(np.exp(alpha[i, w] + step - alpha[length, w]) * counts[w])
+        if used:
+            out += np.bincount(np.concatenate(used), np.concatenate(shares), minlength=v.size)
     return out
 
 
 def _by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of equal length: which words, and their bytes (a blank first)."""
+    """Blocks of equal length: which words, and by place a row of their bytes (a blank first)."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     for n in np.unique(lengths):
         which = np.flatnonzero(lengths == n)
@@ -189,7 +215,7 @@ def _by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for at in range(0, len(which), block):
             part = which[at : at + block]
             rows = np.frombuffer(b"".join([b" " + words[i] for i in part]), np.uint8).reshape(len(part), n + 1)
-            yield part, rows
+            yield part, np.ascontiguousarray(rows.T)
 
 
 def word_log10(v: Vocabulary, logp: np.ndarray, words: list[bytes]) -> np.ndarray:

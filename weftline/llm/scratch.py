@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL: dict[str, str] = {}
 #: Python gets batches of at most so many bytes (one row at least), unless the session says otherwise.
 BATCH_BYTES = 8 << 20
+#: Has Spark delete an execution's shuffle files at its end: what is saved doesn't need them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -53,7 +55,12 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back: cuts lineage durably."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     saved = spark.read.schema(df.schema).parquet(path)
     saved._scratch_path = path
     return saved
@@ -65,12 +72,6 @@ def discard(*saved: DataFrame) -> None:
         _quietly_remove(df._scratch_path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of what is saved by now. It does so once the driver's collector finds
-    them unused, which otherwise may not run for half an hour."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or a longer one that no column of ``df`` bears."""
     while name.lower() in {c.lower() for c in df.columns}:

@@ -6,11 +6,10 @@ never which rows count.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
-
 #: Nodes in a sample, on average at least.
 NODES = 8000
 #: A key is hot if it holds at least this many rows of the sample (one node in twenty to forty has it); there are
@@ -23,15 +22,22 @@ def sampled(node: str, n: int) -> Column:
     return F.pmod(F.xxhash64(F.lit("sample"), F.col(node)), F.lit(max(1, n // NODES))) == 0
 
 
-def hot_keys(sample: DataFrame, key: str) -> DataFrame:
-    """``key``: the hot ones."""
-    return scratch.save(sample.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).select(key), "hot")
+def hot_keys(sample: DataFrame, key: str) -> np.ndarray:
+    """The hot keys, sorted: at most one for LEAST rows of the sample."""
+    rows = sample.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).select(key).collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64))
+
+
+def among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the values are keys."""
+    if not len(keys):
+        return np.zeros(len(values), bool)
+    return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
 
 
-def split(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
-    """The rows of other keys, and those of hot ones (None if no key is hot): where both are used, ``rows`` are
-    worked out twice."""
-    if keys.isEmpty():
+def split(rows: DataFrame, keys: np.ndarray, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of other keys, and those of hot ones (None if no key is hot)."""
+    if not len(keys):
         return rows, None
-    held = F.broadcast(keys)
-    return rows.join(held, key, "left_anti"), rows.join(held, key, "left_semi")
+    held = F.col(key).isin(keys.tolist())
+    return rows.where(~held), rows.where(held)

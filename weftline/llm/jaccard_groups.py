@@ -129,9 +129,11 @@ def rarity_sketch(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def prefix_tokens(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
+def prefix_tokens(docs: DataFrame, sketch: np.ndarray, percent: int, hot_tokens: np.ndarray | None = None, want: bool = False) -> DataFrame:
     """``token, node, at, n``: the rarest shingles of each row, as many as a similar set can miss and
-    one; ``at`` is a shingle's place in the order of all n."""
+    one; ``at`` is a shingle's place in the order of all n. Where ``hot_tokens`` are given, of all tokens but
+    them, or (``want``) of them alone."""
+    chosen = docs.sparkSession.sparkContext.broadcast(hot_tokens)
     held = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +150,11 @@ def prefix_tokens(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFram
                 places = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 n = np.fromiter((len(sets[k]) for k in some), np.int32, len(some))
                 if found:
-                    yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(nodes[block.first + some], sizes)), pa.array(places.astype(np.int32)), pa.array(np.repeat(n, sizes))], ["token", "node", "at", "n"])
+                    columns = np.concatenate(found).view(np.int64), np.repeat(nodes[block.first + some], sizes), places.astype(np.int32), np.repeat(n, sizes)
+                    if chosen.value is not None:
+                        kept = hot.among(columns[0], chosen.value) == want
+                        columns = tuple(c[kept] for c in columns)
+                    yield pa.record_batch([pa.array(c) for c in columns], ["token", "node", "at", "n"])
 
     return scratch.map_arrow(docs, run, "token long, node long, at int, n int")
 
@@ -193,10 +199,9 @@ def links(docs: DataFrame, described: DataFrame, percent: int = PERCENT) -> Data
     # the matrix: prefix tokens of one document per class, kept where several classes have them
     distinct = docs.where("doc_id is not null").join(_limited(copies.select(F.col("a").alias("doc_id")).distinct(), n_copies), "doc_id", "left_anti")
     distinct, sketch = distinct.select("doc_id", "text"), rarity_sketch(distinct.select("doc_id", "text"))
-    tokens = prefix_tokens(distinct, sketch, percent)
     # tokens that are hot in a sample are shared for sure, so their rows needn't come together
     frequent = hot.hot_keys(prefix_tokens(distinct.where(hot.sampled("doc_id", classes.count())), sketch, percent), "token")
-    cold, warm = hot.split(tokens, frequent, "token")
+    cold, warm = prefix_tokens(distinct, sketch, percent, frequent), prefix_tokens(distinct, sketch, percent, frequent, True) if len(frequent) else None
     w = Window.partitionBy("token")
     shared = cold.select("*", F.min("node").over(w).alias("low"), F.max("node").over(w).alias("high")).where("low <> high").drop("low", "high")
     shared = shared if warm is None else shared.union(warm.select(*shared.columns))

@@ -209,7 +209,7 @@ def links(docs: DataFrame, described: DataFrame, percent: int = PERCENT) -> Data
     sizes = grouped.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("size")).withColumnRenamed("root", "g")
     cells = scratch.save(rows.groupBy("token", "g").agg(F.max(F.col("n") - F.col("at") - 1).alias("rest"), F.min("n").alias("least"), F.max("n").alias("most")), "matrix-cells")
     several = scratch.save(cells.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token"), "met-tokens")
-    matrix = cells.join(_limited(several, several.count()), "token", "left_semi").join(sizes, "g", "left")
+    matrix = cells.join(several, "token", "left_semi").join(sizes, "g", "left")
     matrix = scratch.save(matrix.withColumn("size", F.coalesce("size", F.lit(1))), "matrix")
     other = matrix.select("token", F.col("g").alias("h"), "size", "rest", "least", "most")
     asking = rows.join(matrix.select("token", "g", F.col("size").alias("own")), ["token", "g"])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 #: Python gets batches of at most so many bytes (one row at least), unless the session says otherwise.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: Has Spark delete an execution's shuffle files at its end: what is saved doesn't need them.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"

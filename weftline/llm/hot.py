@@ -33,11 +33,3 @@ def among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     if not len(keys):
         return np.zeros(len(values), bool)
     return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
-
-
-def split(rows: DataFrame, keys: np.ndarray, key: str) -> tuple[DataFrame, DataFrame | None]:
-    """The rows of other keys, and those of hot ones (None if no key is hot)."""
-    if not len(keys):
-        return rows, None
-    held = F.col(key).isin(keys.tolist())
-    return rows.where(~held), rows.where(held)

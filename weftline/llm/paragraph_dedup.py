@@ -12,12 +12,13 @@ Paragraphs that collide are compared with the first one of their band value (a s
 pairs), aligned at the shingle that gives the first min-hash: along that diagonal, windows at which at
 least ``PERCENT`` of the union of shingles agree are a repeat, cut back to words inside agreeing
 shingles.
-Windows of a run that aren't equal to the leader's at their own place meet others again: under the half
-windows before and after the shingle with the window's least hash, one of which lies in the window,
-and those that then aren't equal either under all of their shingles, where a check can't fail. That
-choice depends on a window's words and its leaders alone, so windows that are equal make it alike (the
-leader's other places too, which are compared with its first), and a false leader hides no equal
-paragraph.
+Windows of a run that aren't equal to the leader's at their own place meet others again, under keys at
+which a check can't fail. Two windows pass it if at most ``_STRAY`` = SIZE shingles differ, so either
+they share a run of _N - SIZE shingles, or one word alone differs inside: they agree on ``m`` shingles
+before and _N - SIZE - m after it. There is a key for each such run, and one for each such word and ``m``
+where some document has another word there between the same neighbours, and some window there failed
+its check (windows that both pass with a leader are linked by it). So of windows that share a band value
+no link is lost, whoever leads (the leader's other places meet again too).
 
 The copy in the document with the smallest doc_id stays; the later ones are removals, and documents
 that share passages form a component. A span that repeats in several documents names the smallest.
@@ -36,7 +37,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hot, scratch
@@ -55,10 +56,17 @@ BROADCAST_ROWS = 1_000_000
 BLOCK = 1 << 15
 
 _N = WORDS - SIZE + 1
+#: Shingles in which two windows may differ. One word inside makes SIZE of them differ, two make more.
+_STRAY = _N - -(-2 * PERCENT * _N // (100 + PERCENT))
+assert _STRAY == SIZE
+#: Shingles on the longer side of a word that alone differs, at least.
+_LONG = -(-(_N - SIZE) // 2)
 #: Odd factors: each orders all 64-bit values anew, by a bijection.
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)).reshape(BANDS, ROWS) | np.uint64(1)
 _LOW, _HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD6E8FEB86659FD93
+_BACK = pow(_BASE, -1, 1 << 64)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -132,46 +140,71 @@ def band_values(block: Block, bands: range = range(BANDS)) -> tuple[np.ndarray,
     return keys[order].view(np.int64), texts[order], runs[order]
 
 
-def whole_values(shingles: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values of the whole windows that start at these shingles, and each as a run."""
-    return rolling(shingles, _N)[starts].view(np.int64), packed(starts, starts, np.ones_like(starts))
+def _sums(shingles: np.ndarray) -> Callable[[np.ndarray, np.ndarray | int], np.ndarray]:
+    """Values of any runs of shingles, by their starts and lengths."""
+    with np.errstate(over="ignore"):
+        power, back = (np.cumprod(np.append(np.uint64(1), np.full(len(shingles), x, np.uint64))) for x in (_BASE, _BACK))
+        total = np.append(np.uint64(0), np.cumsum(shingles * power[:-1]))
+    return lambda at, n: (total[at + n] - total[at]) * back[at]
 
 
-def half_values(shingles: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values of the half windows on either side of the least hash of the windows that start at these
-    shingles, where they lie inside; and the runs of such windows that share one."""
-    half, keys, runs = _N // 2, [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    values = rolling(shingles, half)
-    for begin in range(0, len(shingles) - _N + 1, BLOCK):
-        own = starts[(starts >= begin) & (starts < begin + BLOCK)]
-        if not len(own):
-            continue
-        part = shingles[begin : begin + BLOCK + _N - 1]
-        low = _first(part, _SEEDS[0, 0])
-        place = (low[own - begin] & _LOW).astype(np.int64) + begin
-        for k, (at, inside) in enumerate(((place - half + 1, place - half + 1 >= own), (place, place + half <= own + _N))):
-            s, p, at = own[inside], place[inside], at[inside]
-            if len(s):
-                edge = np.flatnonzero(np.append(True, (np.diff(s) != 1) | (np.diff(p) != 0)))
-                keys.append(mix(values[at[edge]] ^ np.uint64(k + 1)))
-                runs.append(packed(p[edge], s[edge], np.diff(np.append(edge, len(s)))))
-    return np.concatenate(keys).view(np.int64), np.concatenate(runs)
+def _reached(windows: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Which shingles stand ``low`` to ``high`` places after the start of one of the windows."""
+    total = np.append(0, np.cumsum(windows))
+    at = np.arange(len(windows) + high)
+    return total[np.clip(at - low + 1, 0, len(windows))] > total[np.clip(at - high, 0, len(windows))]
+
+
+def met_again(shingles: np.ndarray, unequal: np.ndarray, failed: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Keys for the windows marked ``unequal``, as columns ``key, run, other, failed``. A run of _N - SIZE shingles
+    has a run and no ``other`` (``known`` is False). A word between a run of _LONG shingles and one shingle on its
+    other side has, as its run, 2 * its first shingle + 1 if the long run is after it, and a value
+    of the word as ``other``; ``failed`` tells whether a window there is marked so."""
+    value, keys, runs, others, known, bad = _sums(shingles), [], [], [], [], []
+
+    def add(key: np.ndarray, run: np.ndarray, other: np.ndarray, word: bool, some: np.ndarray) -> None:
+        for into, x in ((keys, key), (runs, run), (others, other), (known, np.full(len(key), word)), (bad, some)):
+            into.append(x)
+
+    with np.errstate(over="ignore"):
+        at = np.flatnonzero(_reached(unequal, 0, SIZE))
+        add(mix(value(at, _N - SIZE)), packed(at, np.minimum(at, len(unequal) - 1), np.ones_like(at)), np.zeros(len(at), np.uint64), False, _reached(failed, 0, SIZE)[at])
+        for after in (0, 1):
+            low, high = (1, _LONG - 1) if after else (_LONG, _N - SIZE - 1)
+            at = np.flatnonzero(_reached(unequal, low, high))
+            long, one = (at + SIZE, at - 1) if after else (at - _LONG, at + SIZE)
+            add(mix(mix(value(long, _LONG)) + shingles[one] * _FACTOR + np.uint64(after + 1)), 2 * at + after, shingles[at], True, _reached(failed, low, high)[at])
+    return np.concatenate(keys).view(np.int64), np.concatenate(runs), np.concatenate(others).view(np.int64), np.concatenate(known), np.concatenate(bad)
+
+
+def around(shingles: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For words as ``met_again`` gives them: a key for each window that holds one inside, without it, and its run."""
+    before = np.arange(1, _N - SIZE)
+    pairs = [(first, before[(before < _LONG) == side]) for side in (0, 1) for first in [words[words & 1 == side] >> 1]]
+    m = np.concatenate([np.tile(n, len(first)) for first, n in pairs])
+    start = np.concatenate([np.repeat(first, len(n)) for first, n in pairs]) - m
+    inside = (start >= 0) & (start + _N <= len(shingles))
+    start, m = start[inside], m[inside]
+    value = _sums(shingles)
+    with np.errstate(over="ignore"):
+        keys = mix(mix(value(start, m)) * _FACTOR + value(start + m + SIZE, _N - SIZE - m) + m.astype(np.uint64))
+    return keys.view(np.int64), packed(start + m - 1, start, np.ones_like(start))
 
 
 def repeats(a: np.ndarray, b: np.ndarray, at: int, diagonal: int) -> tuple[list[tuple[int, int]], int, np.ndarray]:
     """Word spans of ``a`` around shingle ``at`` that repeat in ``b``, ``diagonal`` places before; the
-    first window that was compared, and for it and each after it whether they are equal."""
+    first window that was compared, and for it and each after it how many shingles are equal."""
     first, last = max(0, diagonal), min(len(a), len(b) + diagonal)
     lo, hi = max(first, at - NEAR), min(last, at + NEAR)
     while True:
         same = a[lo:hi] == b[lo - diagonal : hi - diagonal]
         if len(same) < _N:
-            return [], lo, np.zeros(0, bool)
+            return [], lo, np.zeros(0, np.int64)
         total = np.concatenate([[0], np.cumsum(same)])
         n = total[_N:] - total[:-_N]
-        good = np.flatnonzero(100 * n >= PERCENT * (2 * _N - n))
+        good = np.flatnonzero(n >= _N - _STRAY)
         if not len(good):
-            return [], lo, n == _N
+            return [], lo, n
         if (good[0] == 0 and lo > first) or (good[-1] == len(n) - 1 and hi < last):  # it goes on: look at all of it
             lo, hi = first, last
             continue
@@ -183,7 +216,7 @@ def repeats(a: np.ndarray, b: np.ndarray, at: int, diagonal: int) -> tuple[list[
         np.add.at(words, hits, 1)
         np.add.at(words, hits + SIZE, -1)
         edge = np.diff(np.concatenate([[0], (np.cumsum(words) > 0).astype(np.int8), [0]]))
-        return [(lo + int(s), lo + int(e)) for s, e in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0), strict=True)], lo, n == _N
+        return [(lo + int(s), lo + int(e)) for s, e in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0), strict=True)], lo, n
 
 
 def _equal(own: np.ndarray, lead: np.ndarray, start: int, end: int, diagonal: int) -> tuple[int, np.ndarray]:
@@ -194,13 +227,14 @@ def _equal(own: np.ndarray, lead: np.ndarray, start: int, end: int, diagonal: in
     return s, total[_N:] - total[:-_N] == _N
 
 
-def compare(own: np.ndarray, lead: np.ndarray, runs: np.ndarray, others: np.ndarray, apart: bool) -> tuple[list[tuple[int, int]], np.ndarray]:
+def compare(own: np.ndarray, lead: np.ndarray, runs: np.ndarray, others: np.ndarray, apart: bool) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
     """For runs of one text and the leader's: the spans that repeat (none unless the texts are
-    ``apart``) and the windows that aren't equal to one of the leader's. A window that is equal on a diagonal of other windows counts between two texts, as the leader
-    then sends it on; inside one it doesn't."""
+    ``apart``), and for each window whether it was asked for and isn't equal to one of the leader's, and whether it
+    doesn't pass with any (all do unless ``apart``: they are the leader's). A window that is equal on a
+    diagonal of other windows counts between two texts, as the leader then sends it on; inside one it doesn't."""
     spans = []
     done = np.zeros(len(own) + SIZE, bool)
-    asked, equal = (np.zeros(max(0, len(own) - _N + 1), bool) for _ in range(2))
+    asked, equal, passed = (np.zeros(max(0, len(own) - _N + 1), bool) for _ in range(3))
     seen: dict[int, tuple[int, int]] = {}
     ats, starts, lengths = unpacked(runs)
     for at, start, length, other in zip(ats.tolist(), starts.tolist(), lengths.tolist(), (others >> 12).tolist(), strict=True):
@@ -216,15 +250,16 @@ def compare(own: np.ndarray, lead: np.ndarray, runs: np.ndarray, others: np.ndar
             continue
         low, high = seen.get(diagonal, (0, 0))
         if not (low <= start and max(at, end - 1) < high):
-            found, lo, whole = repeats(own, lead, at, diagonal)
-            equal[lo : lo + len(whole)] |= whole
-            first, last, reach = max(0, diagonal), min(len(own), len(lead) + diagonal), lo + len(whole) + _N - 1
-            seen[diagonal] = 0 if lo == first else lo, len(own) if reach >= last else lo + len(whole)
+            found, lo, n = repeats(own, lead, at, diagonal)
+            equal[lo : lo + len(n)] |= n == _N
+            passed[lo : lo + len(n)] |= n >= _N - _STRAY
+            first, last, reach = max(0, diagonal), min(len(own), len(lead) + diagonal), lo + len(n) + _N - 1
+            seen[diagonal] = 0 if lo == first else lo, len(own) if reach >= last else lo + len(n)
             for s, e in found:
                 if not done[s:e].all():
                     spans.append((s, e))
                     done[s:e] = True
-    return spans, np.flatnonzero(asked & ~equal)
+    return spans, asked & ~equal, asked & ~passed & apart
 
 
 def _bands(docs: DataFrame, bands: range, hot_values: np.ndarray | None = None, want: bool = False) -> DataFrame:
@@ -282,16 +317,21 @@ def _stars(parts: list[DataFrame], warm: DataFrame | None) -> DataFrame:
     values."""
     led = [_cold(rows) for rows in parts] + ([_warm(warm)] if warm is not None else [])
     led = reduce(DataFrame.union, [scratch.save(x, "met-rows") for x in led] if len(led) > 1 else led)
+    return _runs(led)
+
+
+def _runs(led: DataFrame) -> DataFrame:
+    """Per pair of documents its runs."""
     return led.groupBy(F.col("node").alias("a"), F.col("lead.node").alias("b")).agg(F.array_sort(F.collect_set(F.struct("run", F.col("lead.run").alias("other")))).alias("runs"))
 
 
-def _check(pairs: DataFrame, texts: DataFrame, values: Callable | None) -> DataFrame:
-    """``a, start, end, b`` for verified spans; ``key, a, run`` for what meets again, under these values."""
+def _check(pairs: DataFrame, texts: DataFrame, again: bool) -> DataFrame:
+    """``a, start, end, b`` for verified spans; ``a, key, run, other, failed`` for what meets again, if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, lead = None, np.zeros(0, np.uint64)
         for batch in batches:
-            names = ["a", "start", "end", "b", "key", "run"]
+            names = ["a", "start", "end", "b", "key", "run", "other", "failed"]
             texts = (w for block in blocks(batch.column(3)) for w in block.texts())
             for a, b, runs, words, tb in zip(*batch.columns[:3], texts, batch.column(4), strict=True):
                 a, b, tb = a.as_py(), b.as_py(), tb.as_py() or b""
@@ -299,18 +339,50 @@ def _check(pairs: DataFrame, texts: DataFrame, values: Callable | None) -> DataF
                 if tb != last:
                     last, lead = tb, rolling(word_hashes(tb))
                 ours, others = (runs.values.field(k).to_numpy() for k in (0, 1))
-                spans, unequal = compare(own, lead, ours, others, a != b)
-                k, p = values(own, unequal) if values else (unequal[:0], unequal[:0])
-                n, m = len(spans), len(k)
+                spans, unequal, failed = compare(own, lead, ours, others, a != b)
+                met = met_again(own, unequal, failed) if again and unequal.any() else ()
+                n, m = len(spans), len(met[0]) if met else 0
                 if n or m:
                     blank = lambda x, t: pa.concat_arrays([pa.array(x, t), pa.nulls(m, t)])  # noqa: B023, E731
-                    more = lambda x: pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(x, pa.int64())])  # noqa: B023, E731
-                    both = [pa.array(np.full(n + m, a, np.int64)), blank([s for s, _ in spans], pa.int32()), blank([e for _, e in spans], pa.int32()), blank([b] * n, pa.int64()), more(k), more(p)]
-                    yield pa.record_batch(both, names)
+                    more = lambda x, t=pa.int64(), **how: pa.concat_arrays([pa.nulls(n, t), pa.array(x, t, **how)])  # noqa: B008, B023, E731
+                    key, place, other, known, bad = met or ([],) * 5
+                    rest = [more(key), more(place), more(other, mask=~known) if m else more([]), more(bad, pa.bool_())]
+                    yield pa.record_batch([pa.array(np.full(n + m, a, np.int64)), blank([s for s, _ in spans], pa.int32()), blank([e for _, e in spans], pa.int32()), blank([b] * n, pa.int64()), *rest], names)
 
     ta, tb = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
     both = pairs.join(ta, "a").join(tb, "b").select("a", "b", "runs", "ta", "tb").sortWithinPartitions("b")
-    return scratch.map_arrow(both, run, "a long, start int, end int, b long, key long, run long")
+    return scratch.map_arrow(both, run, "a long, start int, end int, b long, key long, run long, other long, failed boolean")
+
+
+def _by_key(rows: DataFrame, where: str, *found: Column) -> DataFrame:
+    """``rows`` of the keys at which ``where`` holds for what is ``found``, with that. Keys are counted up before they
+    are joined, so that frequent ones needn't come together."""
+    keys = scratch.save(rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), *found).where(f"least <> most and ({where})").drop("least", "most"), "keys")
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS // 10 else keys, "key")
+
+
+def _around(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """``key, node, run`` of the windows around these words (``node, run``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, places = batch.column(0).to_numpy(), batch.column(2)
+            texts = (w for block in blocks(batch.column(1)) for w in block.texts())
+            for node, text, own in zip(nodes.tolist(), texts, places, strict=True):
+                keys, runs = around(rolling(text), own.values.to_numpy())
+                yield pa.record_batch([pa.array(keys), pa.array(np.full(len(keys), node, np.int64)), pa.array(runs)], ["key", "node", "run"])
+
+    places = scratch.save(words.groupBy("node").agg(F.collect_set("run").alias("places")), "words")
+    places = F.broadcast(places) if places.count() <= BROADCAST_ROWS // 10 else places
+    return scratch.map_arrow(docs.join(places, "node").select("node", "text", "places"), run, "key long, node long, run long")
+
+
+def _again(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs as those of ``_stars`` for what meets again; all of them pass the check."""
+    words = _by_key(rows.where("other is not null"), "one <> another and bad", F.min("other").alias("one"), F.max("other").alias("another"), F.max("failed").alias("bad"))
+    inside = scratch.save(_around(docs, words.select("node", "run")), "words-around")
+    led = [_by_key(x, "true", F.min(F.struct("node", "run")).alias("lead")) for x in (rows.where("other is null").select("key", "node", "run"), inside)]
+    return _runs(led[0].union(led[1]).where("node <> lead.node"))
 
 
 def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -340,15 +412,13 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     docs, copies = _copies(docs)
     keys, spans = hot.hot_keys(_bands(docs.where(some), range(BANDS)), "key"), scratch.save(copies, "copy-spans")
     parts, warm = [_bands(docs, half, keys) for half in _HALVES], _bands(docs, range(BANDS), keys, True) if len(keys) else None
-    for values in (half_values, whole_values, None):
-        pairs = scratch.save(_stars(parts, warm), "pairs")
+    for again in (False, True):
+        pairs = scratch.save(_again(docs, rows) if again else _stars(parts, warm), "pairs")
         texts = _texts(docs, pairs)
-        checked = scratch.save(_check(pairs, texts, values), "checked")
+        checked = scratch.save(_check(pairs, texts, not again), "checked")
         scratch.discard(pairs, texts)
         spans = spans.union(checked.where("start is not null").select("a", "start", "end", "b"))
-        rows = checked.where("key is not null").select("key", F.col("a").alias("node"), "run").distinct()
-        cold, warm = hot.split(rows, hot.hot_keys(rows.where(some), "key"), "key")
-        parts = [cold]
+        rows = checked.where("key is not null").select("key", F.col("a").alias("node"), "run", "other", "failed")
     spans = scratch.save(spans.distinct(), "spans")
     roots = connected_components(spans.select("a", "b").distinct())
     out = spans.groupBy("a", "start", "end").agg(F.min("b").alias("b")).join(roots.withColumnRenamed("node", "a"), "a", "left")

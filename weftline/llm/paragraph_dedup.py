@@ -13,7 +13,7 @@ pairs), aligned at the shingle that gives the first min-hash: along that diagona
 least ``PERCENT`` of the union of shingles agree are a repeat, cut back to words inside agreeing
 shingles.
 Windows of a run that aren't equal to the leader's at their own place meet others again, under keys at
-which a check can't fail. Two windows pass it if at most ``_STRAY`` = SIZE shingles differ, so either
+which a check can't fail, if their value has more rows than the leader's and theirs. Two windows pass it if at most ``_STRAY`` = SIZE shingles differ, so either
 they share a run of _N - SIZE shingles, or one word alone differs inside: they agree on ``m`` shingles
 before and _N - SIZE - m after it. There is a key for each such run, and one for each such word and ``m``
 where some document has another word there between the same neighbours, and some window there failed
@@ -227,9 +227,9 @@ def _equal(own: np.ndarray, lead: np.ndarray, start: int, end: int, diagonal: in
     return s, total[_N:] - total[:-_N] == _N
 
 
-def compare(own: np.ndarray, lead: np.ndarray, runs: np.ndarray, others: np.ndarray, apart: bool) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+def compare(own: np.ndarray, lead: np.ndarray, runs: np.ndarray, others: np.ndarray, several: np.ndarray, apart: bool) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
     """For runs of one text and the leader's: the spans that repeat (none unless the texts are
-    ``apart``), and for each window whether it was asked for and isn't equal to one of the leader's, and whether it
+    ``apart``), and for each window whether it was asked for in a run whose value has ``several`` others and isn't equal to one of the leader's, and whether it
     doesn't pass with any (all do unless ``apart``: they are the leader's). A window that is equal on a
     diagonal of other windows counts between two texts, as the leader then sends it on; inside one it doesn't."""
     spans = []
@@ -237,11 +237,11 @@ def compare(own: np.ndarray, lead: np.ndarray, runs: np.ndarray, others: np.ndar
     asked, equal, passed = (np.zeros(max(0, len(own) - _N + 1), bool) for _ in range(3))
     seen: dict[int, tuple[int, int]] = {}
     ats, starts, lengths = unpacked(runs)
-    for at, start, length, other in zip(ats.tolist(), starts.tolist(), lengths.tolist(), (others >> 12).tolist(), strict=True):
+    for at, start, length, other, more in zip(ats.tolist(), starts.tolist(), lengths.tolist(), (others >> 12).tolist(), several.tolist(), strict=True):
         if at >= len(own) or other >= len(lead):  # of another row with this doc_id
             continue
         diagonal, end = at - other, start + length
-        asked[start:end] = True
+        asked[start:end] |= more
         if equal[start:end].all():
             continue
         if not apart:
@@ -284,10 +284,10 @@ _APART = "most <> lead.node and (node <> lead.node or run <> lead.run)"
 
 
 def _cold(rows: DataFrame) -> DataFrame:
-    """``node, run, lead``: the rows of values that several documents have, but for the first row of each value
-    (``lead``: its node and run)."""
+    """``node, run, lead, several``: the rows of values that several documents have, but for the first row of each
+    value (``lead``: its node and run), and whether there is more than one."""
     w = Window.partitionBy("key")
-    led = rows.select("node", "run", F.min(F.struct("node", "run")).over(w).alias("lead"), F.max("node").over(w).alias("most"))
+    led = rows.select("node", "run", F.min(F.struct("node", "run")).over(w).alias("lead"), F.max("node").over(w).alias("most"), (F.count(F.lit(1)).over(w) > 2).alias("several"))
     return led.where(_APART).drop("most")
 
 
@@ -305,9 +305,9 @@ def _warm(rows: DataFrame) -> DataFrame:
             at = np.searchsorted(keys, key)
             led = np.flatnonzero((most[at] != nodes[at]) & ((node != nodes[at]) | (place != runs[at])))
             lead = pa.StructArray.from_arrays([pa.array(nodes[at[led]]), pa.array(runs[at[led]])], ["node", "run"])
-            yield pa.record_batch([pa.array(node[led]), pa.array(place[led]), lead], ["node", "run", "lead"])
+            yield pa.record_batch([pa.array(node[led]), pa.array(place[led]), lead, pa.array(np.ones(len(led), bool))], ["node", "run", "lead", "several"])
 
-    return scratch.map_arrow(rows.select("key", "node", "run"), run, "node long, run long, lead struct<node:long,run:long>")
+    return scratch.map_arrow(rows.select("key", "node", "run"), run, "node long, run long, lead struct<node:long,run:long>, several boolean")
 
 
 def _stars(parts: list[DataFrame], warm: DataFrame | None) -> DataFrame:
@@ -322,7 +322,7 @@ def _stars(parts: list[DataFrame], warm: DataFrame | None) -> DataFrame:
 
 def _runs(led: DataFrame) -> DataFrame:
     """Per pair of documents its runs."""
-    return led.groupBy(F.col("node").alias("a"), F.col("lead.node").alias("b")).agg(F.array_sort(F.collect_set(F.struct("run", F.col("lead.run").alias("other")))).alias("runs"))
+    return led.groupBy(F.col("node").alias("a"), F.col("lead.node").alias("b")).agg(F.array_sort(F.collect_set(F.struct("run", F.col("lead.run").alias("other"), "several"))).alias("runs"))
 
 
 def _check(pairs: DataFrame, texts: DataFrame, again: bool) -> DataFrame:
@@ -338,8 +338,8 @@ def _check(pairs: DataFrame, texts: DataFrame, again: bool) -> DataFrame:
                 own = rolling(words)
                 if tb != last:
                     last, lead = tb, rolling(word_hashes(tb))
-                ours, others = (runs.values.field(k).to_numpy() for k in (0, 1))
-                spans, unequal, failed = compare(own, lead, ours, others, a != b)
+                found = (runs.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                spans, unequal, failed = compare(own, lead, *found, a != b)
                 met = met_again(own, unequal, failed) if again and unequal.any() else ()
                 n, m = len(spans), len(met[0]) if met else 0
                 if n or m:
@@ -382,7 +382,12 @@ def _again(docs: DataFrame, rows: DataFrame) -> DataFrame:
     words = _by_key(rows.where("other is not null"), "one <> another and bad", F.min("other").alias("one"), F.max("other").alias("another"), F.max("failed").alias("bad"))
     inside = scratch.save(_around(docs, words.select("node", "run")), "words-around")
     led = [_by_key(x, "true", F.min(F.struct("node", "run")).alias("lead")) for x in (rows.where("other is null").select("key", "node", "run"), inside)]
-    return _runs(led[0].union(led[1]).where("node <> lead.node"))
+    led = led[0].union(led[1]).where("node <> lead.node").select("node", "lead", "run", F.lit(False).alias("several"))
+    # the check looks NEAR places around: one run tells for its neighbours on its diagonal
+    at = F.shiftright("run", 12)
+    near = [at - F.shiftright("lead.run", 12), F.floor(at * 2 / NEAR)]
+    led = led.groupBy("node", F.col("lead.node").alias("b"), near[0].alias("diagonal"), near[1].alias("part")).agg(F.min(F.struct("run", "lead")).alias("x"))
+    return _runs(led.select("node", "x.run", "x.lead", F.lit(False).alias("several")))
 
 
 def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -556,6 +556,30 @@ def test_altered_passages_behind_a_false_leader(spark, least, monkeypatch):
     assert lost == []
 
 
+def test_strangers_behind_one_leader_are_not_met_again(spark, monkeypatch):
+    """Texts that share 15 words collide, and none passes with any other: nothing is sent out again."""
+    seen, again = [], paragraph_dedup._again
+    monkeypatch.setattr(paragraph_dedup, "_again", lambda docs, rows: seen.append((docs.count(), rows.count())) or again(docs, rows))
+    rows = [(k, " ".join(words(45, 8000 + k) + words(15, 7999) + words(45, 9000 + k))) for k in range(1, 60)]
+    assert paragraph_dedup.find(table(spark, rows)).count() == 0
+    assert seen == [(59, 0)]
+
+
+@pytest.mark.parametrize("changed", [*([k] for k in range(50)), [0, 49], [1, 48], [0, 1, 2], [2, 47], [49, 48, 45]])
+def test_windows_that_pass_share_a_part(changed):
+    r = np.random.default_rng(1)
+    for _ in range(20):
+        a = r.integers(0, 1 << 63, 50).astype(np.uint64)
+        b = a.copy()
+        b[changed] += np.uint64(1)
+        own = [shingles.rolling(x) for x in (a, b)]
+        if (own[0] == own[1]).sum() >= 41:
+            found = [paragraph_dedup.parts(x, np.array([0]), 7) for x in own]
+            assert (found[0] == found[1]).any()
+            keys, bad = paragraph_dedup.part_keys(own[1], np.ones(1, bool), np.ones(1, bool), 7)
+            assert set(keys) == set(found[1].ravel()) and bad.all()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from(["a", "é", "b\n", "c  d", ""]), max_size=12), st.integers(0, 6), st.integers(1, 4))
 def test_cut_text_leaves_the_other_words(parts, start, n):

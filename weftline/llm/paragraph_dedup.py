@@ -19,6 +19,10 @@ before and _N - SIZE - m after it. There is a key for each such run, and one for
 where some document has another word there between the same neighbours, and some window there failed
 its check (windows that both pass with a leader are linked by it). So of windows that share a band value
 no link is lost, whoever leads (the leader's other places meet again too).
+Before that, those that can't pass with any other go: two windows that pass agree on all shingles from place
+SIZE to _LONG, or on as many on the right, so also on the one run of RUN shingles that is chosen in such a part
+by its value. Only windows with a chosen run that another document with the same leader has too, and where some window
+failed its check, are given keys.
 
 The copy in the document with the smallest doc_id stays; the later ones are removals, and documents
 that share passages form a component. A span that repeats in several documents names the smallest.
@@ -61,6 +65,9 @@ _STRAY = _N - -(-2 * PERCENT * _N // (100 + PERCENT))
 assert _STRAY == SIZE
 #: Shingles on the longer side of a word that alone differs, at least.
 _LONG = -(-(_N - SIZE) // 2)
+#: Shingles in a run that stands for a part of a window, [SIZE, _LONG) or as far from its other end.
+RUN = 12
+assert RUN <= _LONG - SIZE
 #: Odd factors: each orders all 64-bit values anew, by a bijection.
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)).reshape(BANDS, ROWS) | np.uint64(1)
 _LOW, _HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
@@ -155,8 +162,8 @@ def _reached(windows: np.ndarray, low: int, high: int) -> np.ndarray:
     return total[np.clip(at - low + 1, 0, len(windows))] > total[np.clip(at - high, 0, len(windows))]
 
 
-def met_again(shingles: np.ndarray, unequal: np.ndarray, failed: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Keys for the windows marked ``unequal``, as columns ``key, run, other, failed``. A run of _N - SIZE shingles
+def met_again(shingles: np.ndarray, left: np.ndarray, right: np.ndarray, failed: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Keys for the windows that may be met by their ``left`` part, their ``right`` one or both, as columns ``key, run, other, failed``. A run of _N - SIZE shingles
     has a run and no ``other`` (``known`` is False). A word between a run of _LONG shingles and one shingle on its
     other side has, as its run, 2 * its first shingle + 1 if the long run is after it, and a value
     of the word as ``other``; ``failed`` tells whether a window there is marked so."""
@@ -167,16 +174,39 @@ def met_again(shingles: np.ndarray, unequal: np.ndarray, failed: np.ndarray) ->
             into.append(x)
 
     with np.errstate(over="ignore"):
-        at = np.flatnonzero(_reached(unequal, 0, SIZE))
-        add(mix(value(at, _N - SIZE)), packed(at, np.minimum(at, len(unequal) - 1), np.ones_like(at)), np.zeros(len(at), np.uint64), False, _reached(failed, 0, SIZE)[at])
+        at = np.flatnonzero(_reached(left & right, 0, SIZE))  # such a run holds both parts
+        add(mix(value(at, _N - SIZE)), packed(at, np.minimum(at, len(left) - 1), np.ones_like(at)), np.zeros(len(at), np.uint64), False, _reached(failed, 0, SIZE)[at])
         for after in (0, 1):
             low, high = (1, _LONG - 1) if after else (_LONG, _N - SIZE - 1)
-            at = np.flatnonzero(_reached(unequal, low, high))
+            at = np.flatnonzero(_reached(right if after else left, low, high))
             long, one = (at + SIZE, at - 1) if after else (at - _LONG, at + SIZE)
             add(mix(mix(value(long, _LONG)) + shingles[one] * _FACTOR + np.uint64(after + 1)), 2 * at + after, shingles[at], True, _reached(failed, low, high)[at])
     return np.concatenate(keys).view(np.int64), np.concatenate(runs), np.concatenate(others).view(np.int64), np.concatenate(known), np.concatenate(bad)
 
 
+def parts(shingles: np.ndarray, windows: np.ndarray, leader: int) -> np.ndarray:
+    """Two rows: for each of these windows (their starts, in order) the least value of a run of RUN shingles in its left
+    part and in its right one, mixed with the leader's node. Windows of two texts that share a band value, and so
+    its leader, and pass the check have one of the two in common."""
+    low = int(windows[0])
+    own = shingles[low : int(windows[-1]) + _N]
+    values = mix(_sums(own)(np.arange(len(own) - RUN + 1), RUN))
+    least = np.lib.stride_tricks.sliding_window_view(values, _LONG - SIZE - RUN + 1).min(1)
+    at = windows - low
+    with np.errstate(over="ignore"):
+        return mix(np.stack([least[at + SIZE], least[at + _N - _LONG]]) + np.array([leader]).view(np.uint64) * _FACTOR).view(np.int64)
+
+
+def part_keys(shingles: np.ndarray, unequal: np.ndarray, failed: np.ndarray, leader: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``parts`` of the windows marked ``unequal``, and for each whether one of them is marked ``failed``."""
+    windows = np.flatnonzero(unequal)
+    found = parts(shingles, windows, leader)
+    keys, at = np.unique(found, return_inverse=True)
+    bad = np.zeros(len(keys), bool)
+    bad[at.reshape(found.shape)[:, failed[windows]]] = True
+    return keys, bad
+
+
 def around(shingles: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For words as ``met_again`` gives them: a key for each window that holds one inside, without it, and its run."""
     before = np.arange(1, _N - SIZE)
@@ -325,32 +355,47 @@ def _runs(led: DataFrame) -> DataFrame:
     return led.groupBy(F.col("node").alias("a"), F.col("lead.node").alias("b")).agg(F.array_sort(F.collect_set(F.struct("run", F.col("lead.run").alias("other"), "several"))).alias("runs"))
 
 
-def _check(pairs: DataFrame, texts: DataFrame, again: bool) -> DataFrame:
-    """``a, start, end, b`` for verified spans; ``a, key, run, other, failed`` for what meets again, if asked for."""
+def _check(pairs: DataFrame, texts: DataFrame, step: str) -> DataFrame:
+    """``a, start, end, b`` for verified spans; at step ``parts`` also ``a, b, key, failed`` for the parts of what
+    might meet again, at step ``again`` in their place ``a, key, run, other, failed`` for the windows that have one of the
+    pair's ``wanted`` parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, lead = None, np.zeros(0, np.uint64)
         for batch in batches:
             names = ["a", "start", "end", "b", "key", "run", "other", "failed"]
             texts = (w for block in blocks(batch.column(3)) for w in block.texts())
-            for a, b, runs, words, tb in zip(*batch.columns[:3], texts, batch.column(4), strict=True):
+            rows: list[list[np.ndarray]] = []
+            for a, b, runs, words, tb, wanted in zip(*batch.columns[:3], texts, *batch.columns[4:], strict=True):
                 a, b, tb = a.as_py(), b.as_py(), tb.as_py() or b""
                 own = rolling(words)
                 if tb != last:
                     last, lead = tb, rolling(word_hashes(tb))
                 found = (runs.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
                 spans, unequal, failed = compare(own, lead, *found, a != b)
-                met = met_again(own, unequal, failed) if again and unequal.any() else ()
-                n, m = len(spans), len(met[0]) if met else 0
+                spans = np.array(spans if step != "again" else [], np.int64).reshape(-1, 2)
+                met = [np.zeros(0, np.int64)] * 5
+                if step == "again" and unequal.any():
+                    windows = np.flatnonzero(unequal)
+                    sides = np.zeros((2, len(unequal)), bool)
+                    sides[:, windows] = np.isin(parts(own, windows, b), wanted.values.to_numpy())
+                    met = met_again(own, *sides, failed) if sides.any() else met
+                elif step == "parts" and unequal.any():
+                    keys, bad = part_keys(own, unequal, failed, b)
+                    met = [keys, keys, keys, np.zeros(len(keys), bool), bad]
+                n, m = len(spans), len(met[0])
                 if n or m:
-                    blank = lambda x, t: pa.concat_arrays([pa.array(x, t), pa.nulls(m, t)])  # noqa: B023, E731
-                    more = lambda x, t=pa.int64(), **how: pa.concat_arrays([pa.nulls(n, t), pa.array(x, t, **how)])  # noqa: B008, B023, E731
-                    key, place, other, known, bad = met or ([],) * 5
-                    rest = [more(key), more(place), more(other, mask=~known) if m else more([]), more(bad, pa.bool_())]
-                    yield pa.record_batch([pa.array(np.full(n + m, a, np.int64)), blank([s for s, _ in spans], pa.int32()), blank([e for _, e in spans], pa.int32()), blank([b] * n, pa.int64()), *rest], names)
+                    no = np.zeros(n, np.int64)
+                    rows.append([np.full(n + m, a), np.append(spans[:, 0], np.zeros(m, np.int64)), np.append(spans[:, 1], np.zeros(m, np.int64)), np.full(n + m, b), *(np.append(no, x) for x in met), np.arange(n + m) >= n])
+            if rows:
+                a, start, end, b, key, place, other, known, bad, again = (np.concatenate(x) for x in zip(*rows, strict=True))
+                known, again = known.astype(bool), again.astype(bool)
+                placed = again if step == "again" else np.zeros(len(again), bool)
+                yield pa.record_batch([pa.array(a), pa.array(start, pa.int32(), mask=again), pa.array(end, pa.int32(), mask=again), pa.array(b), pa.array(key, mask=~again), pa.array(place, mask=~placed), pa.array(other, mask=~(placed & known)), pa.array(bad.astype(bool), mask=~again)], names)
 
     ta, tb = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-    both = pairs.join(ta, "a").join(tb, "b").select("a", "b", "runs", "ta", "tb").sortWithinPartitions("b")
+    wanted = F.col("wanted") if step == "again" else F.lit(None).cast("array<long>").alias("wanted")
+    both = pairs.join(ta, "a").join(tb, "b").select("a", "b", "runs", "ta", "tb", wanted).sortWithinPartitions("b")
     return scratch.map_arrow(both, run, "a long, start int, end int, b long, key long, run long, other long, failed boolean")
 
 
@@ -361,6 +406,13 @@ def _by_key(rows: DataFrame, where: str, *found: Column) -> DataFrame:
     return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS // 10 else keys, "key")
 
 
+def _wanted(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs that have a part (``key, node, b, failed``) which another document has too and where some window failed, with
+    these parts."""
+    some = _by_key(rows, "bad", F.max("failed").alias("bad")).groupBy(F.col("node").alias("a"), "b").agg(F.collect_set("key").alias("wanted"))
+    return pairs.join(some, ["a", "b"])
+
+
 def _around(docs: DataFrame, words: DataFrame) -> DataFrame:
     """``key, node, run`` of the windows around these words (``node, run``)."""
 
@@ -381,8 +433,9 @@ def _again(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Pairs as those of ``_stars`` for what meets again; all of them pass the check."""
     words = _by_key(rows.where("other is not null"), "one <> another and bad", F.min("other").alias("one"), F.max("other").alias("another"), F.max("failed").alias("bad"))
     inside = scratch.save(_around(docs, words.select("node", "run")), "words-around")
-    led = [_by_key(x, "true", F.min(F.struct("node", "run")).alias("lead")) for x in (rows.where("other is null").select("key", "node", "run"), inside)]
-    led = led[0].union(led[1]).where("node <> lead.node").select("node", "lead", "run", F.lit(False).alias("several"))
+    least = F.min(F.struct("node", "run")).alias("lead")
+    led = [_by_key(rows.where("other is null").select("key", "node", "run", "failed"), "bad", least, F.max("failed").alias("bad")), _by_key(inside, "true", least)]
+    led = reduce(DataFrame.union, [x.select("node", "run", "lead") for x in led]).where("node <> lead.node").select("node", "lead", "run", F.lit(False).alias("several"))
     # the check looks NEAR places around: one run tells for its neighbours on its diagonal
     at = F.shiftright("run", 12)
     near = [at - F.shiftright("lead.run", 12), F.floor(at * 2 / NEAR)]
@@ -406,8 +459,12 @@ def _copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     again = scratch.save(known.join(first, "hash").where("node > b").distinct(), "copies")
     again = F.broadcast(again) if again.count() <= BROADCAST_ROWS // 10 else again
     n = F.size(F.filter(F.split(F.col("text").cast("string"), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
+    n = F.when(F.col("b") < F.col("node"), n)  # always so: else every text is split before the join
     spans = hashed.join(again, ["node", "hash"]).select(F.col("node").alias("a"), F.lit(0).alias("start"), n.alias("end"), "b").where(F.col("end") >= WORDS)
-    return hashed.join(again, ["node", "hash"], "left_anti").drop("hash"), spans
+    # only texts with such a doc_id are hashed anew, each time that the rest is read
+    gone = scratch.save(again.groupBy(F.col("node").alias("own")).agg(F.collect_set("hash").alias("hashes")), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS // 10 else gone
+    return docs.join(gone, (F.col("node") == F.col("own")) & F.array_contains("hashes", F.unhex(F.sha1("text"))), "left_anti"), spans
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -416,14 +473,19 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     some = hot.sampled("node", docs.count())
     docs, copies = _copies(docs)
     keys, spans = hot.hot_keys(_bands(docs.where(some), range(BANDS)), "key"), scratch.save(copies, "copy-spans")
-    parts, warm = [_bands(docs, half, keys) for half in _HALVES], _bands(docs, range(BANDS), keys, True) if len(keys) else None
-    for again in (False, True):
-        pairs = scratch.save(_again(docs, rows) if again else _stars(parts, warm), "pairs")
-        texts = _texts(docs, pairs)
-        checked = scratch.save(_check(pairs, texts, not again), "checked")
-        scratch.discard(pairs, texts)
-        spans = spans.union(checked.where("start is not null").select("a", "start", "end", "b"))
-        rows = checked.where("key is not null").select("key", F.col("a").alias("node"), "run", "other", "failed")
+    halves, warm = [_bands(docs, half, keys) for half in _HALVES], _bands(docs, range(BANDS), keys, True) if len(keys) else None
+    pairs = scratch.save(_stars(halves, warm), "pairs")
+    texts = _texts(docs, pairs)
+    checked = scratch.save(_check(pairs, texts, "parts"), "checked")
+    wanted = scratch.save(_wanted(pairs, checked.where("key is not null").select("key", F.col("a").alias("node"), "b", "failed")), "wanted")
+    rows = scratch.save(_check(wanted, texts, "again").select("key", F.col("a").alias("node"), "run", "other", "failed"), "met-again")
+    scratch.discard(pairs, wanted, texts)
+    pairs = scratch.save(_again(docs, rows), "pairs")
+    texts = _texts(docs, pairs)
+    last = scratch.save(_check(pairs, texts, "spans"), "checked")
+    scratch.discard(pairs, texts)
+    for x in (checked, last):
+        spans = spans.union(x.where("start is not null").select("a", "start", "end", "b"))
     spans = scratch.save(spans.distinct(), "spans")
     roots = connected_components(spans.select("a", "b").distinct())
     out = spans.groupBy("a", "start", "end").agg(F.min("b").alias("b")).join(roots.withColumnRenamed("node", "a"), "a", "left")
